@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from tessera.llm.bpe_automaton import op7_bpe_automaton
 from tessera.llm.exact_dedup import OP5_SQL, op5_exact_dedup
+from tessera.llm.packing import op1_packing
+from tessera.llm.token_files import op6_token_files
 
-QUERIES = {f.__name__: f for f in (op5_exact_dedup,)}
+QUERIES = {f.__name__: f for f in (op1_packing, op5_exact_dedup, op6_token_files, op7_bpe_automaton)}
 SQL = {"op5_exact_dedup": OP5_SQL}
