@@ -51,7 +51,8 @@ def keyed_state(feed: DataFrame, files_per_batch: int | None = None) -> DataFram
     """Stream the stored feed (digest, who) through keyed state: (digest, keep, hits) of all that was ever seen."""
     spark = feed.sparkSession
     at = shared_dir(spark)
-    with _settings(spark, spark__sql__streaming__stateStore__providerClass=ROCKS):
+    # Space is not allocated ahead: a store for every partition would take megabytes while it is still empty.
+    with _settings(spark, spark__sql__streaming__stateStore__providerClass=ROCKS, spark__sql__streaming__stateStore__rocksdb__allowFAllocate="false"):
         reader = spark.readStream.schema(feed.schema)
         reader = reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader.option("maxBytesPerTrigger", FEED_BYTES)
         seen = reader.parquet(feed.inputFiles()[0].rpartition("/")[0]).groupBy("digest").agg(F.max("who").alias("keep"), F.count(F.lit(1)).alias("hits"))
