@@ -134,7 +134,7 @@ def window_hashes(words: np.ndarray, size: int, salt: int = 0) -> np.ndarray:
     return mix(span_hashes(mix(words, salt), at, at + size), salt)
 
 
-def chunks(batches: Iterator, most_bytes: int = 8 << 20) -> Iterator:
+def chunks(batches: Iterator, most_bytes: int = 2 << 20) -> Iterator:
     """The Arrow batches cut into runs of rows whose texts hold about most_bytes; a single text is never cut."""
     import pyarrow.compute as pc
 

@@ -128,11 +128,9 @@ class WordTable:
             flat = np.fromiter((i for x in coded for i in x), np.uint32, int(length.sum()))
             offset = len(self.ids) + np.cumsum(length) - length
             self.ids = np.concatenate([self.ids, flat])
-            keys = np.concatenate([self.keys, unique[new]])
-            order = np.argsort(keys, kind="stable")
-            self.keys = keys[order]
-            self.offset = np.concatenate([self.offset, offset])[order]
-            self.length = np.concatenate([self.length, length])[order]
+            self.keys = np.insert(self.keys, spot[new], unique[new])
+            self.offset = np.insert(self.offset, spot[new], offset)
+            self.length = np.insert(self.length, spot[new], length)
             spot = np.searchsorted(self.keys, unique)
         return spot
 

@@ -6,7 +6,8 @@ from tessera.llm.bpe_automaton import op7_bpe_automaton
 from tessera.llm.chat_format import op10_chat_format
 from tessera.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from tessera.llm.packing import op1_packing
+from tessera.llm.simhash import op9_simhash
 from tessera.llm.token_files import op6_token_files
 
-QUERIES = {f.__name__: f for f in (op1_packing, op5_exact_dedup, op6_token_files, op7_bpe_automaton, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_packing, op5_exact_dedup, op6_token_files, op7_bpe_automaton, op9_simhash, op10_chat_format)}
 SQL = {"op5_exact_dedup": OP5_SQL}
