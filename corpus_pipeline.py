@@ -2,18 +2,46 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm import exact_dedup, packing, quality_rules, simhash, substring_dedup
 from tessera.llm.common import documents, written
-from tessera.llm.exact_dedup import kept_documents
 
 
-def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return kept_documents(docs)
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and are no outliers of their language and source."""
+    return quality_rules.kept_documents(docs)
 
 
-STAGES = [("exact dedup", exact)]
-#: The stages compute a robust covariance and 64-bit hashes that DuckDB does not have; tests hold run() against brute force.
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of equal texts: the one with the largest doc_id."""
+    return exact_dedup.kept_documents(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of linked fingerprints: the one with the smallest doc_id."""
+    return simhash.kept_documents(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that an earlier document has."""
+    return substring_dedup.cleaned_documents(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in training sequences."""
+    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality rules", keep_quality),
+    ("exact dedup", drop_exact_copies),
+    ("simhash near-dedup", drop_near_copies),
+    ("substring dedup", cut_repeats),
+    ("packing", pack_sequences),
+]
+#: The stages take robust covariances, XXH64 bits and byte-pair merges, which DuckDB does not have; tests hold run() against brute force.
 ORACLE_SQL = None
 
 

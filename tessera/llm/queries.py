@@ -6,9 +6,10 @@ from tessera.llm.bpe_automaton import op7_bpe_automaton
 from tessera.llm.chat_format import op10_chat_format
 from tessera.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from tessera.llm.packing import op1_packing
+from tessera.llm.quality_rules import op3_quality_rules
 from tessera.llm.simhash import op9_simhash
 from tessera.llm.substring_dedup import op8_substring_dedup
 from tessera.llm.token_files import op6_token_files
 
-QUERIES = {f.__name__: f for f in (op1_packing, op5_exact_dedup, op6_token_files, op7_bpe_automaton, op8_substring_dedup, op9_simhash, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_packing, op3_quality_rules, op5_exact_dedup, op6_token_files, op7_bpe_automaton, op8_substring_dedup, op9_simhash, op10_chat_format)}
 SQL = {"op5_exact_dedup": OP5_SQL}

@@ -306,5 +306,13 @@ def cleaned(docs: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, schema)
 
 
+def cleaned_documents(docs: DataFrame) -> DataFrame:
+    """docs with the words that stay as text, and n_chars to match where docs has it; a text that goes whole is left empty."""
+    out = cleaned(docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_words", "n_removed", "kept_sha256")
