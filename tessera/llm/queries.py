@@ -11,6 +11,7 @@ from tessera.llm.quality_rules import op3_quality_rules
 from tessera.llm.simhash import op9_simhash
 from tessera.llm.substring_dedup import op8_substring_dedup
 from tessera.llm.token_files import op6_token_files
+from tessera.llm.toxicity import op4_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_quality_model, op3_quality_rules, op5_exact_dedup, op6_token_files, op7_bpe_automaton, op8_substring_dedup, op9_simhash, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_quality_model, op3_quality_rules, op4_toxicity, op5_exact_dedup, op6_token_files, op7_bpe_automaton, op8_substring_dedup, op9_simhash, op10_chat_format)}
 SQL = {"op5_exact_dedup": OP5_SQL}
