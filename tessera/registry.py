@@ -24,3 +24,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    import tessera.plans.catalogue_queries
+    import tessera.plans.shapes  # noqa: F401
+
+
+load()
