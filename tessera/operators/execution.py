@@ -9,6 +9,7 @@ import uuid
 from dataclasses import dataclass, field
 from typing import Any
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,11 +29,11 @@ def run_with_timeout(spark: SparkSession, df_of, seconds: float, take: int | Non
 
     def stop() -> None:
         late.set()
-        spark.interruptTag(tag)
+        spark.sparkContext.cancelJobsWithTag(tag)
 
     timer = threading.Timer(seconds, stop)
     began = time.monotonic()
-    spark.addTag(tag)
+    spark.sparkContext.addJobTag(tag)
     timer.start()
     try:
         df = df_of()
@@ -42,7 +43,7 @@ def run_with_timeout(spark: SparkSession, df_of, seconds: float, take: int | Non
         return Outcome(False, [], f"more than {seconds} s" if late.is_set() else str(e).split("\n")[0], time.monotonic() - began)
     finally:
         timer.cancel()
-        spark.removeTag(tag)
+        spark.sparkContext.removeJobTag(tag)
 
 
 class Validator:
@@ -128,7 +129,10 @@ class Trace:
 
 def trace(spark: SparkSession, sql: str, seconds: float = 15.0) -> Trace | None:
     """Run a query and read its executed plan; None if it fails or runs too long."""
-    df: DataFrame = spark.sql(sql)
+    try:
+        df: DataFrame = spark.sql(sql)
+    except PySparkException:
+        return None
     out = run_with_timeout(spark, lambda: df, seconds)
     return Trace(sql, _node(spark._jvm, df._jdf.queryExecution().executedPlan()), out.seconds, len(out.rows)) if out.ok else None
 

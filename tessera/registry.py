@@ -18,18 +18,18 @@ def register(name: str, query: Callable[[SparkSession, str], DataFrame], sql: st
         _SQL[name] = sql
 
 
+def _load() -> None:
+    """Import the modules that register queries."""
+    import tessera.plans.catalogue_queries
+    import tessera.plans.shapes
+    import tessera.plans.workload_queries  # noqa: F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
-
-
-def load() -> None:
-    """Import the modules that register queries."""
-    import tessera.plans.catalogue_queries
-    import tessera.plans.shapes  # noqa: F401
-
-
-load()
