@@ -280,13 +280,14 @@ def _kept(text: bytes, runs: list[int] | None, gone: bool) -> tuple[int, list[by
     return len(words), [w for w, s in zip(words, stay.tolist()) if s]
 
 
-def cleaned(docs: DataFrame) -> DataFrame:
-    """docs with the words that stay, joined by one blank, as text where any went (else text as it was); n_words, n_removed and
-    kept_sha256 (of the words that stay, joined by one blank) are added."""
+RESULTS = ("text", "n_words", "n_removed", "kept_sha256")
+
+
+def _cut(docs: DataFrame) -> DataFrame:
+    """__row (struct of the columns of docs but text) and the RESULTS."""
     gone = removals(docs).select(F.col("doc_id").alias("__id"), F.col("h").alias("__gone"), "runs")
-    rows = _zipped(docs)
-    joined = rows.join(gone, (rows.doc_id == gone["__id"]) & (rows["__h"] == gone["__gone"]), "left").drop("__id")
-    others = [c for c in docs.columns if c != "text"]
+    rows = _zipped(docs.select("doc_id", "text", F.struct(*[c for c in docs.columns if c != "text"]).alias("__row")))
+    joined = rows.join(gone, (rows.doc_id == gone["__id"]) & (rows["__h"] == gone["__gone"]), "left").select("__row", "__z", "runs", "__gone")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -299,19 +300,25 @@ def cleaned(docs: DataFrame) -> DataFrame:
                 n_words.append(n)
                 n_gone.append(n - len(words))
                 digest.append(hashlib.sha256(kept).hexdigest())
-            arrays = [batch.column(c) for c in others] + [pa.array(texts, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_gone, pa.int64()), pa.array(digest, pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*others, "text", "n_words", "n_removed", "kept_sha256"])
+            arrays = [batch.column("__row"), pa.array(texts, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_gone, pa.int64()), pa.array(digest, pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["__row", *RESULTS])
 
-    schema = T.StructType([f for f in docs.schema.fields if f.name != "text"]).add("text", "string").add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string")
+    schema = T.StructType([rows.schema["__row"]]).add("text", "string").add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string")
     return joined.mapInArrow(run, schema)
 
 
+def cleaned(docs: DataFrame) -> DataFrame:
+    """docs with the words that stay, joined by one blank, as text where any went (else text as it was); n_words, n_removed and
+    kept_sha256 (of the words that stay, joined by one blank) are added, and stand for columns of the same names."""
+    return _cut(docs).select(*[F.col("__row")[c].alias(c) for c in docs.columns if c not in RESULTS], *RESULTS)
+
+
 def cleaned_documents(docs: DataFrame) -> DataFrame:
     """docs with the words that stay as text, and n_chars to match where docs has it; a text that goes whole is left empty."""
-    out = cleaned(docs)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    own = {c: F.col("__row")[c] for c in docs.columns if c != "text"} | {"text": F.col("text")}
+    if "n_chars" in own:
+        own["n_chars"] = F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(own["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return _cut(docs).select(*[own[c].alias(c) for c in docs.columns])
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
