@@ -104,6 +104,17 @@ def span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nd
     return mix((sums[end] - sums[start]) * powers(_ODD_INVERSE, n + 1)[start] + (end - start).astype(np.uint64))
 
 
+def word_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The hash of each span of bytes, worked out block by block so that memory follows the longest word, not the data."""
+    out = np.empty(len(start), np.uint64)
+    block = start >> 20
+    order = np.argsort(block, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(block[order])) + 1) if len(order) else []:
+        low, high = start[part].min(), end[part].max()
+        out[part] = span_hashes(_BYTE[data[low:high]], start[part] - low, end[part] - low)
+    return out
+
+
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[*SPACES.encode()]] = True
 
@@ -122,7 +133,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     start, end = word_spans(data)
     begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    return span_hashes(_BYTE[data], start, end), np.searchsorted(start, begins)
+    return word_keys(data, start, end), np.searchsorted(start, begins)
 
 
 def window_hashes(words: np.ndarray, size: int, salt: int = 0) -> np.ndarray:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import _BYTE, chunks, documents, mix, small_batches, span_hashes, texts_of
+from tessera.llm.common import chunks, documents, mix, small_batches, texts_of, word_keys
 from tessera.llm.quality_model import held_out
 
 SPAN, STRIDE = 64, 32
@@ -49,7 +49,7 @@ class Words:
         solid = np.concatenate([[False], self.data != 32])
         edges = np.flatnonzero(solid[1:] != solid[:-1])
         start, end = edges[::2], edges[1::2]
-        hashes = span_hashes(_BYTE[self.data], start, end)
+        hashes = word_keys(self.data, start, end)
         self.keys, at, self.index = np.unique(hashes, return_index=True, return_inverse=True)
         self.start, self.end = start[at], end[at]
         self.begins = np.searchsorted(start, np.cumsum([0, *(len(t) + 1 for t in raw)]))
@@ -59,7 +59,7 @@ class Words:
         if not prefix:
             return self.keys
         long_enough = self.end - self.start >= prefix
-        hashes = span_hashes(_BYTE[self.data], self.start, np.minimum(self.start + prefix, self.end))
+        hashes = word_keys(self.data, self.start, np.minimum(self.start + prefix, self.end))
         return np.where(long_enough, mix(hashes, prefix), np.uint64(0))
 
     def trigrams(self) -> tuple[np.ndarray, np.ndarray]:
@@ -196,7 +196,7 @@ class Network:
         np.add.at(d["char"], cells, np.repeat(by_inputs[:, WORD_CELLS * len(rows) :] / size[:, None], times, axis=0))
         return d
 
-    def scores(self, texts: list[str], most: int = 4096) -> np.ndarray:
+    def scores(self, texts: list[str], most: int = 1024) -> np.ndarray:
         """Per text, the probability of its highest window."""
         words = Words(texts)
         start, length, text = words.windows()
@@ -256,7 +256,7 @@ def train(texts: list[str], label: np.ndarray, seed: int = 5) -> Network:
     step = 0
     for _ in range(EPOCHS):
         inputs, _found = net.looked_up(words)
-        out = np.concatenate([net.logits(inputs, words.index, start[k : k + 4096], length[k : k + 4096]) for k in range(0, len(start), 4096)])
+        out = np.concatenate([net.logits(inputs, words.index, start[k : k + 1024], length[k : k + 1024]) for k in range(0, len(start), 1024)])
         best = np.lexsort((-out, text))
         best = best[np.flatnonzero(np.concatenate([[True], text[best][1:] != text[best][:-1]]))]
         rng.shuffle(best)
