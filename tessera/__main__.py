@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 import sys
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, field, fields
 from functools import reduce
 from pathlib import Path
 from typing import Any
@@ -12,14 +12,14 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import execution
+from tessera.operators import execution, rewrites
 from tessera.operators import statistics as profile
 from tessera.operators import workload as shaping
 from tessera.operators.graph import JoinQuery, KeyGraph, kinds
 from tessera.operators.predicates import PredicateMaker, random_tree
 from tessera.plans.augment import ShapeClient, augment
 from tessera.sources.schemas import FACTS, keys_of
-from tessera.sources.tables import TABLES, read, register
+from tessera.sources.tables import TABLES, export, read, register, schema_classes
 
 
 @dataclass(frozen=True)
@@ -57,6 +57,9 @@ class Parameters:
     requests: int = 20
     retries: int = 1
     most_rows: int = 100
+    make_disjoint: bool = False
+    make_diverse: bool = False
+    template_limits: dict[str, int] = field(default_factory=dict)
     seconds: float = 20.0
     seed: int = 42
 
@@ -71,6 +74,12 @@ class Parameters:
         return cls(**{k: tuple(v) if isinstance(v, list) else v for k, v in told.items()})
 
 
+def export_tables(spark: SparkSession, p: Parameters) -> DataFrame:
+    """The tables of data as temporary views, and written as one folder each under output; existing folders are an error."""
+    register(spark, p.data, p.tables)
+    return spark.createDataFrame([(t, export(spark.table(t), p.output, t)) for t in p.tables], "table string, path string")
+
+
 def make_histograms(spark: SparkSession, p: Parameters) -> DataFrame:
     """Statistics of all tables that have columns for them, stored under output."""
     parts = []
@@ -142,11 +151,45 @@ def extensions(spark: SparkSession, p: Parameters) -> DataFrame:
     return spark.read.parquet(f"{p.output}/extensions")
 
 
+def fix_transform(spark: SparkSession, p: Parameters) -> DataFrame:
+    """Queries made disjoint and diverse where asked for, and put under their row limit. Each is run; where its changed form fails,
+    the original takes its place, and where that fails too it is left out. Stores the queries (fixed) and their measures (traces)."""
+    register(spark, p.data, p.tables)
+    check, schema = execution.Validator(spark, p.seconds), schema_classes(spark, p.data, p.tables)
+    workload = spark.read.parquet(p.workload)
+    if "query_folder" not in workload.columns:
+        workload = workload.withColumn("query_folder", F.lit(""))
+    rows, traces = [], []
+    for k, r in enumerate(workload.orderBy("relative_path").select("relative_path", "query_folder", "sql").collect()):
+        sql = r.sql
+        if p.make_disjoint:
+            try:
+                sql = rewrites.disjoint_sql(sql, schema)
+            except ValueError:  # no column is left to stand for a key
+                sql = r.sql
+        if p.make_diverse:
+            sql = rewrites.diversified_sql(sql, schema, p.seed + k)
+        limited = execution.shape_output(check, sql, p.most_rows, p.drop_empty)
+        plain = limited if sql == r.sql else execution.shape_output(check, r.sql, p.most_rows, p.drop_empty)
+        if not (limited or plain):
+            continue
+        found, changed = execution.traced_or_original(spark, limited or plain, plain or limited, p.seconds)
+        if found:
+            rows.append((r.relative_path, r.query_folder, found.sql, r.sql, found.sql != r.sql and changed))
+            traces.append(found)
+    spark.createDataFrame(rows, "relative_path string, query_folder string, sql string, original_sql string, changed boolean").write.parquet(f"{p.output}/fixed")
+    execution.metrics_table(spark, traces).write.parquet(f"{p.output}/traces")
+    return spark.read.parquet(f"{p.output}/fixed")
+
+
 def get_metrics(spark: SparkSession, p: Parameters) -> DataFrame:
     """Queries under their row limit, run and measured; those that fail are left out."""
     register(spark, p.data)
     check, traces = execution.Validator(spark, p.seconds), []
-    for r in spark.read.parquet(p.workload).orderBy("relative_path").select("sql").collect():
+    workload = spark.read.parquet(p.workload)
+    if p.template_limits:
+        workload = shaping.template_cap(workload, p.template_limits)
+    for r in workload.orderBy("relative_path").select("sql").collect():
         sql = execution.shape_output(check, r.sql, p.most_rows, p.drop_empty)
         found = execution.traced_or_original(spark, sql, r.sql, p.seconds)[0] if sql else None
         traces += [found] if found else []
@@ -154,7 +197,7 @@ def get_metrics(spark: SparkSession, p: Parameters) -> DataFrame:
     return spark.read.parquet(f"{p.output}/metrics")
 
 
-COMMANDS = {"make-histograms": make_histograms, "synthetic-queries": synthetic_queries, "filter-synthetic": filter_synthetic, "extensions": extensions, "get-metrics": get_metrics}
+COMMANDS = {"export-tables": export_tables, "make-histograms": make_histograms, "synthetic-queries": synthetic_queries, "filter-synthetic": filter_synthetic, "extensions": extensions, "fix-transform": fix_transform, "get-metrics": get_metrics}
 
 
 def main(args: list[str]) -> int:

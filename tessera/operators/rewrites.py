@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -82,7 +83,81 @@ def diversified(query: GroupedQuery, schema: dict[str, dict[str, str]], seed: in
     def one(a: Aggregate) -> Aggregate:
         if a.function != "count" or a.column == "*":
             return a
-        numeric = schema.get(owner_of(a.column, schema) or "", {}).get(a.column) in ("INT", "FLOAT")
+        numeric = schema.get(owner_of(a.column, schema) or "", {}).get(a.column.rpartition(".")[2]) in ("INT", "FLOAT")
         return replace(a, function=rng.choice(["count", "count_distinct", *["min", "max"] * numeric]))
 
     return replace(query, aggregates=tuple(map(one, query.aggregates)))
+
+
+# The same two rewrites on SQL text, for queries that came from elsewhere. Only the outermost SELECT list is changed.
+
+_WORD_OR_OTHER = re.compile(r"'(?:[^']|'')*'|\"[^\"]*\"|`[^`]*`|--[^\n]*|/\*.*?\*/|\w+|[^\s\w]", re.S)
+_COLUMN = re.compile(r"(?:\w+\.)?[A-Za-z_]\w*")
+_COUNTED = re.compile(r"\bCOUNT\s*\(\s*((?:\w+\.)?[A-Za-z_]\w*)\s*\)(?!\s*(?:OVER|FILTER)\b)", re.I)
+
+
+def _outermost(sql: str) -> tuple[tuple[int, int], list[tuple[int, int]], tuple[int, int] | None] | None:
+    """Spans of the last SELECT list outside parentheses, of its items, and of its GROUP BY list; None if there is no such list."""
+    depth, select, end, commas, group, stop = 0, None, None, [], None, None
+    for m in _WORD_OR_OTHER.finditer(sql):
+        word = m.group().upper()
+        depth += (word == "(") - (word == ")")
+        if depth:
+            continue
+        if word == "SELECT":
+            select, end, commas, group, stop = m.end(), None, [], None, None
+        elif word == "FROM" and select is not None and end is None:
+            end = m.start()
+        elif word == "," and select is not None and end is None:
+            commas.append(m.start())
+        elif word == "BY" and end is not None and re.search(r"\bGROUP\s*$", sql[: m.start()], re.I):
+            group = m.end()
+        elif word in ("HAVING", "ORDER", "LIMIT", "UNION", "INTERSECT", "EXCEPT", ";") and group is not None and stop is None:
+            stop = m.start()
+    if select is None or end is None:
+        return None
+    edges = [select - 1, *commas, end]
+    return (select, end), [(a + 1, b) for a, b in zip(edges, edges[1:])], (group, stop if stop is not None else len(sql)) if group is not None else None
+
+
+def disjoint_sql(sql: str, schema: dict[str, dict[str, str]]) -> str:
+    """disjoint() on text: each selected plain column that is a group key becomes the count of another column of its table.
+
+    Queries that order their rows, use GROUPING or windows, or have no GROUP BY, stay as they are."""
+    found = _outermost(sql)
+    if not found or not found[2] or re.search(r"\bORDER\s+BY\b|\bGROUPING\s*\(|\bOVER\b", sql, re.I):
+        return sql
+    bare = lambda c: c.rpartition(".")[2].lower()
+    keys = {bare(c) for c in _COLUMN.findall(sql[slice(*found[2])])}
+    items = [sql[a:b].strip() for a, b in found[1]]
+    taken = keys | {bare(c) for item in items for c in _COLUMN.findall(item)}
+    for k, item in enumerate(items):
+        column = re.split(r"\s+", item)[0]
+        if not _COLUMN.fullmatch(column) or "(" in item or bare(column) not in keys:
+            continue
+        table = owner_of(column, schema) or owner_of(bare(column), schema)
+        free = [c for c in schema.get(table or "", {}) if c.lower() not in taken]
+        if not free:
+            raise ValueError(f"{table} has no column left beside {sorted(taken)}")
+        taken.add(free[-1].lower())
+        prefix = column[: len(column) - len(bare(column))]
+        items[k] = f"COUNT({prefix}{free[-1]}) AS count_{free[-1]}"
+    (a, b), _, _ = found
+    return f"{sql[:a]} {', '.join(items)} {sql[b:]}"
+
+
+def diversified_sql(sql: str, schema: dict[str, dict[str, str]], seed: int = 42) -> str:
+    """diversified() on text: COUNT(column) in the SELECT list may become COUNT(DISTINCT column), or MIN or MAX of a number."""
+    found = _outermost(sql)
+    if not found:
+        return sql
+    rng = random.Random(seed)
+
+    def one(m: re.Match[str]) -> str:
+        column = m.group(1)
+        name = column.rpartition(".")[2]
+        numeric = schema.get(owner_of(column, schema) or owner_of(name, schema) or "", {}).get(name) in ("INT", "FLOAT")
+        return rng.choice([m.group(), f"COUNT(DISTINCT {column})", *[f"MIN({column})", f"MAX({column})"] * numeric])
+
+    (a, b), _, _ = found
+    return sql[:a] + _COUNTED.sub(one, sql[a:b]) + sql[b:]

@@ -33,6 +33,25 @@ def test_commands(spark, small, tmp_path):
     assert metrics.count() >= 3 and metrics.where("query_plan_size < 1").count() == 0
 
 
+def test_fix_transform(spark, small, tmp_path):
+    there = COMMANDS["export-tables"](spark, Parameters(data=small, output=str(tmp_path / "x"), tables=("region", "nation")))
+    assert there.count() == 2 and spark.read.parquet(str(tmp_path / "x/nation")).count() == 25
+    rows = [
+        ("a", "group_by_1", "SELECT n_regionkey, COUNT(*) AS n FROM nation GROUP BY n_regionkey"),
+        ("b", "group_by_1", "SELECT n_name FROM nation"),
+        ("c", "empty", "SELECT n_name FROM nation WHERE n_nationkey < 0"),
+        ("d", "broken", "SELECT FROM WHERE"),
+        ("e", "group_by_1", "SELECT COUNT(n_name) AS n FROM nation"),
+    ]
+    spark.createDataFrame(rows, "relative_path string, query_folder string, sql string").write.parquet(str(tmp_path / "w"))
+    p = Parameters(data=small, output=str(tmp_path / "f"), workload=str(tmp_path / "w"), make_disjoint=True, make_diverse=True, most_rows=10)
+    fixed = {r.relative_path: r for r in COMMANDS["fix-transform"](spark, p).collect()}
+    assert set(fixed) == {"a", "b", "e"} and fixed["a"].changed and "SELECT n_regionkey" not in fixed["a"].sql
+    assert spark.sql(fixed["b"].sql).count() == 10 and spark.read.parquet(str(tmp_path / "f/traces")).count() == 3
+    few = Parameters(data=small, output=str(tmp_path / "m"), workload=str(tmp_path / "f/fixed"), template_limits={"group_by_1": 2})
+    assert COMMANDS["get-metrics"](spark, few).count() == 2
+
+
 def test_parameters(tmp_path):
     (tmp_path / "p.toml").write_text('bins = 7\ntables = ["part"]\n')
     assert Parameters.read(str(tmp_path / "p.toml")) == Parameters(bins=7, tables=("part",))

@@ -202,3 +202,17 @@ def test_streamed_frequencies(spark, small, tmp_path):
     follow_frequencies(stream, ["event_type"], "followed", str(tmp_path / "at")).awaitTermination()
     same = lambda df: sorted(map(tuple, df.select("column", "value", "n").collect()))
     assert same(spark.table("followed")) == same(statistics.frequencies(events, ["event_type"]))
+
+
+def test_rewrites_of_text():
+    schema = {"t": {"a": "INT", "b": "INT", "c": "TEXT", "d": "INT"}, "u": {"e": "TEXT"}}
+    text = "SELECT t.a AS k, COUNT(*), (SELECT max(e) FROM u) FROM t WHERE c <> 'x FROM y, z' GROUP BY t.a HAVING COUNT(b) > 1"
+    assert rewrites.disjoint_sql(text, schema) == "SELECT COUNT(t.d) AS count_d, COUNT(*), (SELECT max(e) FROM u) FROM t WHERE c <> 'x FROM y, z' GROUP BY t.a HAVING COUNT(b) > 1"
+    for same in ("SELECT a FROM t", "SELECT a, COUNT(*) FROM t GROUP BY a ORDER BY a", "not sql", "", "SELECT 'GROUP BY a' FROM t"):
+        assert rewrites.disjoint_sql(same, schema) == same
+    with pytest.raises(ValueError, match="no column left"):
+        rewrites.disjoint_sql("SELECT e, COUNT(*) FROM u GROUP BY e", schema)
+    seen = {rewrites.diversified_sql("SELECT COUNT(t.a), COUNT(*) FROM t", schema, k) for k in range(40)}
+    assert seen == {f"SELECT {x}, COUNT(*) FROM t" for x in ("COUNT(t.a)", "COUNT(DISTINCT t.a)", "MIN(t.a)", "MAX(t.a)")}
+    assert {rewrites.diversified_sql("SELECT COUNT(c) FROM t HAVING COUNT(a) > 1", schema, k) for k in range(40)} == {f"SELECT {x} FROM t HAVING COUNT(a) > 1" for x in ("COUNT(c)", "COUNT(DISTINCT c)")}
+    assert rewrites.diversified_sql("SELECT COUNT(a) OVER () FROM t", schema, 1) == "SELECT COUNT(a) OVER () FROM t"
