@@ -1,9 +1,9 @@
 """Quality rules: base counts of a text, and robust multivariate outliers by minimum covariance determinant.
 
 Each text gives a vector of transformed statistics. For every language and source, the covariance of least determinant over a share
-SUBSET of its texts is approached by concentration steps from a start at medians and quartiles: distances to the
-current estimate, the SUBSET of least distance, its mean and covariance, and again. Texts whose Mahalanobis distance
-to the final estimate passes CUTOFF are rejected. Sources with few texts in a language are pooled. All sums run over whole numbers, so they are
+SUBSET of its texts is approached by concentration steps from two starts, at medians and quartiles and at medians and
+median deviations: distances to the current estimate, the SUBSET of least distance, its mean and covariance, and again.
+The end of least determinant is taken. Texts whose Mahalanobis distance to it passes CUTOFF are rejected. Sources with few texts in a language are pooled. All sums run over whole numbers, so they are
 exact in any order; quantiles of distances are taken over narrow bins. DataFrame and SQL operations only.
 
 Defined results: a null text has no words, and fails the base rules; null languages and sources form groups of their
@@ -27,7 +27,8 @@ STEPS, MOST = 16, 4096
 P = len(FLOORS)
 #: Share of a group whose covariance is least, and what its variances are multiplied by to be consistent for a normal
 #: distribution: SUBSET over the distribution function of chi-square with P + 2 degrees at the SUBSET quantile of P degrees.
-SUBSET, CONSISTENCY = 0.75, 1.43
+#: At half, nearly as many outliers as good texts are borne. The usual P / 2 rows more keep a covariance from being singular; here the FLOORs do.
+SUBSET, CONSISTENCY = 0.5, 1.912
 #: Squared distance; a normal vector passes it about once in a million (chi-square, P degrees).
 CUTOFF = 36.0
 ROUNDS = 3
@@ -85,6 +86,10 @@ def _join(rows: DataFrame, side: DataFrame, on: list[str], n: int, how: str = "i
 TRIANGLE = [(i, j) for i in range(P) for j in range(i + 1)]
 
 
+#: Columns of an estimate.
+ESTIMATE = [*[f"m{i}" for i in range(P)], *[f"w{i}{j}" for i, j in TRIANGLE]]
+
+
 def _total(terms: list[str]) -> str:
     return " + ".join(terms) or "0.0D"
 
@@ -95,16 +100,16 @@ def _distance() -> Column:
 
 
 def _factor(sums: DataFrame) -> DataFrame:
-    """Mean m_i and the inverse w_ij of the Cholesky factor of the covariance, from a group's sums."""
+    """Mean m_i, the inverse w_ij of the Cholesky factor of the covariance, and its determinant's root, from the sums of a group and start."""
     means = [f"s{i} / n AS m{i}" for i in range(P)]
     spread = [f"(q{i}{j} / n - s{i} / n * (s{j} / n)) * {CONSISTENCY}D + {STEPS**2 if i == j else 0} AS v{i}{j}" for i, j in TRIANGLE]
-    out = sums.selectExpr("g", *means, *spread)
+    out = sums.selectExpr("g", "start", *means, *spread)
     for j in range(P):  # the factor column by column
         rest = {i: f"v{i}{j} - ({_total([f'l{i}{k} * l{j}{k}' for k in range(j)])})" for i in range(j, P)}
         out = out.selectExpr("*", f"sqrt(greatest({rest[j]}, 1e-6D)) AS l{j}{j}").selectExpr("*", *[f"({rest[i]}) / l{j}{j} AS l{i}{j}" for i in range(j + 1, P)])
     for off in range(P):  # its inverse diagonal by diagonal
         out = out.selectExpr("*", *[f"{f'-({_total([f"l{j + off}{k} * w{k}{j}" for k in range(j, j + off)])})' if off else '1'} / l{j + off}{j + off} AS w{j + off}{j}" for j in range(P - off)])
-    return out.select("g", *[f"m{i}" for i in range(P)], *[f"w{i}{j}" for i, j in TRIANGLE])
+    return out.selectExpr("g", "start", *ESTIMATE, " * ".join(f"l{j}{j}" for j in range(P)) + " AS root")
 
 
 def _bin(distance: Column) -> Column:
@@ -118,17 +123,22 @@ def estimates(vectors: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     groups = written(per_source.select("__lang", "__source", F.to_json(g).alias("g")))
     n = groups.count()
     rows = written(_join(vectors, groups, ["__lang", "__source"], n).select("g", *[f"x{i}" for i in range(P)]))
-    quartiles = rows.groupBy("g").agg(*[F.percentile(f"x{i}", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"p{i}") for i in range(P)])
-    scale = [f"1 / greatest((p{i}[2] - p{i}[0]) / 1.349D, {STEPS}D) AS w{i}{i}" for i in range(P)]
-    now = quartiles.selectExpr("g", *[f"p{i}[1] AS m{i}" for i in range(P)], *[scale[i] if i == j else f"0.0D AS w{i}{j}" for i, j in TRIANGLE])
+    quartiles = written(rows.groupBy("g").agg(*[F.percentile(f"x{i}", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"p{i}") for i in range(P)]))
+    # Above a quarter of outliers the quartiles of a statistic may lie among them; the median deviation holds up to half.
+    deviations = _join(rows, quartiles, ["g"], n).groupBy("g").agg(*[F.percentile(F.expr(f"abs(x{i} - p{i}[1])"), 0.5).alias(f"d{i}") for i in range(P)])
+    spreads = [[f"(p{i}[2] - p{i}[0]) / 1.349D" for i in range(P)], [f"d{i} * 1.4826D" for i in range(P)]]
+    both = written(_join(quartiles, deviations, ["g"], n))
+    starts = [both.selectExpr("g", f"{k} AS start", *[f"p{i}[1] AS m{i}" for i in range(P)], *[f"1 / greatest({spread[i]}, {STEPS}D) AS w{i}{i}" if i == j else f"0.0D AS w{i}{j}" for i, j in TRIANGLE]) for k, spread in enumerate(spreads)]
+    now = starts[0].unionByName(starts[1])
     for _ in range(ROUNDS):
         now = written(now)
-        near = _join(rows, now, ["g"], n).select("g", *[f"x{i}" for i in range(P)], _bin(_distance()).alias("bin"))
-        reach = written(near.groupBy("g").agg(F.percentile("bin", SUBSET).alias("reach")))
-        subset = _join(near, reach, ["g"], n).where("bin <= reach")
+        near = _join(rows, now, ["g"], 2 * n).select("g", "start", *[f"x{i}" for i in range(P)], _bin(_distance()).alias("bin"))
+        reach = written(near.groupBy("g", "start").agg(F.percentile("bin", SUBSET).alias("reach")))
+        subset = _join(near, reach, ["g", "start"], 2 * n).where("bin <= reach")
         sums = ["count(1) AS n", *[f"sum(x{i}) AS s{i}" for i in range(P)], *[f"sum(x{i} * x{j}) AS q{i}{j}" for i, j in TRIANGLE]]
-        now = _factor(written(subset.groupBy("g").agg(*map(F.expr, sums))))
-    return groups, written(now), n
+        now = _factor(written(subset.groupBy("g", "start").agg(*map(F.expr, sums))))
+    least = written(now).groupBy("g").agg(F.min_by(F.struct(*ESTIMATE), F.struct("root", "start")).alias("e"))
+    return groups, written(least.select("g", "e.*")), n
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
