@@ -20,7 +20,10 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of linked fingerprints: the one with the smallest doc_id."""
+    """One document of each component of linked fingerprints: the one with the smallest doc_id.
+
+    The rule is that of op9_simhash: shingles of three words, three bits of 64. Most copies of five-word similarity 0.8 lie further apart, and stay.
+    """
     return simhash.kept_documents(docs)
 
 
