@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from tessera.operators.predicates import PredicateMaker, random_tree
 from tessera.plans.augment import ShapeClient, augment
 from tessera.plans.shapes import JOINS
 from tessera.registry import register
-from tessera.sources.tables import TABLES, columns_of, read, schema_classes
+from tessera.sources.tables import TABLES, columns_of, read, schema_classes, type_class
 from tessera.sources.tables import register as register_tables
 
 BINS = 10
@@ -64,9 +65,21 @@ SELECT substring, length, support FROM u a WHERE support >= coalesce((SELECT max
 )
 
 
+def all_stats(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """All statistics of a table, one row per column; common_substrings is null where a column is no string."""
+    df = read(spark, sf_dir, table)
+    stats = statistics.column_stats(df, table, BINS, 5)
+    strings = [f.name for f in df.schema.fields if type_class(f.dataType) == "STRING"]
+    mined = [statistics.substring_support(df, c, 0.1, 5).agg(F.sort_array(F.collect_list(F.struct("length", "substring", "support"))).alias("__s"), F.lit(c).alias("column")) for c in strings]
+    if not mined:
+        return stats.withColumn("common_substrings", F.lit(None).cast("array<struct<substring: string, support: bigint, support_probability: double>>"))
+    share = lambda x: F.struct(x["substring"].alias("substring"), x["support"].alias("support"), (x["support"] / F.col("sample_size")).alias("support_probability"))
+    return stats.join(reduce(DataFrame.unionByName, mined), "column", "left").select(*stats.columns, F.transform("__s", share).alias("common_substrings"))
+
+
 def column_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All statistics of a table, one row per column."""
-    return statistics.column_stats(read(spark, sf_dir, "customer"), "customer", BINS, 5)
+    return all_stats(spark, sf_dir, "customer")
 
 
 register("column_stats", column_stats)
@@ -121,7 +134,7 @@ register("limit_wrapped", lambda s, d: (register_tables(s, d, ("orders",)), s.sq
 def generated(spark: SparkSession, sf_dir: str, n: int = 6, seed: int = 42) -> list[tuple[JoinQuery, str]]:
     """Random queries along the foreign keys of lineitem, with predicates from the statistics of the tables customer and part; and their signatures."""
     rng, graph = random.Random(seed), KeyGraph()
-    stats = [r.asDict(recursive=True) for t in ("customer", "part") for r in statistics.column_stats(read(spark, sf_dir, t), t, BINS, 5).orderBy("column").collect()]
+    stats = [r.asDict(recursive=True) for t in ("customer", "part") for r in all_stats(spark, sf_dir, t).orderBy("column").collect()]
     maker = PredicateMaker(stats)
     out = []
     for part in graph.parts(rng, "lineitem", 3, 0.5, n):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions.classify import functions_of
 from tessera.operators import execution, rewrites, statistics, workload
 from tessera.operators.graph import JoinQuery, KeyGraph, kinds
-from tessera.operators.predicates import Predicate, PredicateMaker, Tree, leaf, random_tree
+from tessera.operators.predicates import KINDS, Predicate, PredicateMaker, Tree, leaf, random_tree
 from tessera.plans.augment import ShapeClient, augment_batch, augment_one, extract_sql, prompt, sample_queries
 from tessera.plans.shapes import JOINS
 from tessera.sources.tables import FOREIGN_KEYS, export, read, register, type_class
@@ -56,6 +56,17 @@ def test_predicate_maker():
     assert sorted(map(repr, tree.leaves())) == sorted(map(repr, drawn[:5])) and sum(kinds(tree).values()) == 5 and random_tree(random.Random(1), [], 0.5) is None
 
 
+def test_statistics_give_all_kinds_of_predicates(spark, small):
+    from tessera.plans.workload_queries import all_stats
+
+    names = [r.c_name for r in read(spark, small, "customer").collect()]
+    stats = [r.asDict(recursive=True) for t in ("customer", "part") for r in all_stats(spark, small, t).collect()]
+    assert {r["column"] for r in stats if r["common_substrings"]} == {r["column"] for r in stats if r["dtype"] == "STRING"}
+    (mined,) = [r["common_substrings"] for r in stats if r["column"] == "c_name"]
+    assert all(s["support"] == sum(s["substring"] in x for x in names) and s["support_probability"] == s["support"] / len(names) for s in mined)
+    assert {p.kind for p in PredicateMaker(stats).draw(random.Random(1), ["customer", "part"], 60)} == set(KINDS)
+
+
 def test_bins(spark):
     counts = [0, 1, 5, 10, 11, 99, 100, 101, 10_000]
     df = spark.createDataFrame([(c,) for c in counts], "n long").select(workload.bin_of(F.col("n"), 100, 10))
