@@ -22,8 +22,8 @@ class Outcome:
     seconds: float = 0.0
 
 
-def run_with_timeout(spark: SparkSession, df_of, seconds: float, take: int | None = None) -> Outcome:
-    """Collect (the first take rows of) df_of(); a run past its time is cancelled by its tag, without a process of its own."""
+def run_with_timeout(spark: SparkSession, df_of, seconds: float | None, take: int | None = None) -> Outcome:
+    """Collect (the first take rows of) df_of(); a run past its time (None: no limit) is cancelled by its tag, without a process of its own."""
     tag = f"tessera-{uuid.uuid4().hex}"
     late = threading.Event()
 
@@ -31,10 +31,11 @@ def run_with_timeout(spark: SparkSession, df_of, seconds: float, take: int | Non
         late.set()
         spark.sparkContext.cancelJobsWithTag(tag)
 
-    timer = threading.Timer(seconds, stop)
+    timer = threading.Timer(seconds, stop) if seconds is not None else None
     began = time.monotonic()
     spark.sparkContext.addJobTag(tag)
-    timer.start()
+    if timer:
+        timer.start()
     try:
         df = df_of()
         rows = df.take(take) if take is not None else df.collect()
@@ -42,14 +43,15 @@ def run_with_timeout(spark: SparkSession, df_of, seconds: float, take: int | Non
     except Exception as e:  # noqa: BLE001  any failure of the query is its outcome
         return Outcome(False, [], f"more than {seconds} s" if late.is_set() else str(e).split("\n")[0], time.monotonic() - began)
     finally:
-        timer.cancel()
+        if timer:
+            timer.cancel()
         spark.sparkContext.removeJobTag(tag)
 
 
 class Validator:
     """Whether queries run, how many rows they give, and what they count."""
 
-    def __init__(self, spark: SparkSession, seconds: float = 20.0):
+    def __init__(self, spark: SparkSession, seconds: float | None = 20.0):
         self.spark, self.seconds = spark, seconds
 
     def is_valid(self, sql: str) -> tuple[bool, str | None]:
@@ -63,8 +65,12 @@ class Validator:
 
     def cardinality(self, sql: str) -> int:
         """First cell of a counting query, -1 if it fails or runs too long."""
+        return self.counted(sql)[0]
+
+    def counted(self, sql: str) -> tuple[int, str | None]:
+        """First cell of a counting query, or -1 and why it has none."""
         out = run_with_timeout(self.spark, lambda: self.spark.sql(sql), self.seconds, take=1)
-        return int(out.rows[0][0]) if out.ok and out.rows else -1
+        return (int(out.rows[0][0]), None) if out.ok and out.rows else (-1, out.error or "no rows")
 
 
 def shape_output(validator: Validator, sql: str, most: int, drop_empty: bool) -> str | None:
@@ -127,14 +133,31 @@ class Trace:
     output_rows: int
 
 
-def trace(spark: SparkSession, sql: str, seconds: float = 15.0) -> Trace | None:
-    """Run a query and read its executed plan; None if it fails or runs too long."""
+@dataclass(frozen=True)
+class Failure:
+    """A query that failed or ran too long."""
+
+    sql: str
+    seconds: float
+    error: str
+
+
+def traced(spark: SparkSession, sql: str, seconds: float | None) -> Trace | Failure:
+    """Run a query and read its executed plan; None: no limit."""
     try:
         df: DataFrame = spark.sql(sql)
-    except PySparkException:
-        return None
+    except PySparkException as e:
+        return Failure(sql, 0.0, str(e).split("\n")[0])
     out = run_with_timeout(spark, lambda: df, seconds)
-    return Trace(sql, _node(spark._jvm, df._jdf.queryExecution().executedPlan()), out.seconds, len(out.rows)) if out.ok else None
+    if not out.ok:
+        return Failure(sql, out.seconds, out.error or "failed")
+    return Trace(sql, _node(spark._jvm, df._jdf.queryExecution().executedPlan()), out.seconds, len(out.rows))
+
+
+def trace(spark: SparkSession, sql: str, seconds: float = 15.0) -> Trace | None:
+    """Run a query and read its executed plan; None if it fails or runs too long."""
+    found = traced(spark, sql, seconds)
+    return found if isinstance(found, Trace) else None
 
 
 def traced_or_original(spark: SparkSession, changed: str, original: str, seconds: float = 15.0) -> tuple[Trace | None, bool]:
@@ -208,6 +231,19 @@ def metrics_table(spark: SparkSession, traces: list[Trace]) -> DataFrame:
     return spark.createDataFrame([tuple(plan_metrics(t)[n] for n in names) for t in traces], METRICS)
 
 
+def outcomes_table(spark: SparkSession, found: list[Trace | Failure]) -> DataFrame:
+    """One row of METRICS per query, with its sql, trace_success and error; a failed one has its time and what its text tells."""
+    names = [c.split()[0] for c in re.split(r", (?=\w+ )(?![^<]*>)", METRICS)]
+    rows = []
+    for t in found:
+        if isinstance(t, Trace):
+            rows.append((t.sql, True, None, *(plan_metrics(t)[n] for n in names)))
+        else:
+            known = {"latency": t.seconds, "query_size_bytes": len(t.sql.encode()), "query_size_tokens": len(tokens(t.sql)), "query_keywords": keywords(t.sql)}
+            rows.append((t.sql, False, t.error, *(known.get(n) for n in names)))
+    return spark.createDataFrame(rows, "sql string, trace_success boolean, error string, " + METRICS)
+
+
 def operator_totals(metrics: DataFrame) -> DataFrame:
     """(operator, n) over all queries, most frequent first."""
     return metrics.select(F.explode("operator_distribution").alias("operator", "n")).groupBy("operator").agg(F.sum("n").alias("n")).where("n > 0").orderBy(F.desc("n"), "operator")

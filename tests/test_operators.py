@@ -154,6 +154,28 @@ def test_validation(spark, small):
     assert not late.ok and "more than" in late.error and late.seconds < 30
 
 
+def test_failed_queries_keep_their_rows(spark, small, monkeypatch):
+    from tessera.plans import workload_queries
+
+    limits, run = [], execution.run_with_timeout
+
+    def first_fails(spark, df_of, seconds, take=None):
+        limits.append(seconds)
+        return execution.Outcome(False, [], "lost", 1.5) if len(limits) == 1 else run(spark, df_of, seconds, take)
+
+    monkeypatch.setattr(execution, "run_with_timeout", first_fails)
+    rows = workload_queries.plan_metrics(spark, small).collect()
+    assert len(rows) == len(JOINS) == len(limits) and set(limits) == {None}
+    (failed,) = [r for r in rows if not r.trace_success]
+    assert (failed.error, failed.latency, failed.operator_distribution) == ("lost", 1.5, None) and failed.query_size_bytes > 0
+    assert all(r.error is None and r.query_plan_size > 0 for r in rows if r.trace_success)
+    limits.clear()
+    rows = workload_queries.synthetic_workload(spark, small).collect()
+    assert [(r.count_star, r.error) for r in rows][0] == (-1, "lost") and set(limits) == {None}
+    assert all(r.error is None and r.count_star == r.count_star_df for r in rows[1:])
+    assert isinstance(execution.traced(spark, "SELECT oops FROM region", 9), execution.Failure)
+
+
 def test_traces(spark, small):
     register(spark, small)
     sql = JOINS["join_snowflake_count"].to_sql()
