@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import small_batches
+from tessera.llm.common import chunks, slices
 
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]", "[ROLE]", "[/ROLE]", "[GEN]", "[/GEN]")
 TEMPLATE = """\
@@ -517,13 +517,12 @@ def parse_back(text: str) -> list[tuple[str, str]]:
 
 def formatted(conversations: DataFrame, template: str = TEMPLATE) -> DataFrame:
     """Per conversation: conv_id, formatted (string), loss (array<struct<start, end>>, code points)."""
-    small_batches(conversations.sparkSession, 1000)
     turn = F.struct("turn", F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     grouped = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("messages"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         render = compile_template(template)
-        for batch in batches:
+        for batch in slices(batches, 256):
             done = [render({"messages": m}) for m in batch.column("messages").to_pylist()]
             loss = pa.array([[{"start": a, "end": b} for a, b in spans] for _, spans in done], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
             yield pa.RecordBatch.from_arrays([batch.column("conv_id"), pa.array([t for t, _ in done], pa.string()), loss], names=["conv_id", "formatted", "loss"])
@@ -537,7 +536,7 @@ def read_back(rendered: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
-        for batch in batches:
+        for batch in chunks(batches, column="formatted"):
             rows = []
             for conv, text, loss in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "formatted", "loss"))):
                 turns = parse_back(text)

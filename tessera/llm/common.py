@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
 import re
 import uuid
 from collections.abc import Iterator
@@ -15,8 +14,6 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-#: Rows handed to a Python worker at a time; the longest texts decide its memory, so batches are small.
-ROWS_PER_BATCH = 256
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,29 +30,23 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/tessera-{uuid.uuid4().hex}"
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # noqa: BLE001  the session may be over already
-        return
+def removed_at_end(spark: SparkSession, path: str) -> None:
+    """Have the driver's JVM delete path when it ends, whether or not the session was stopped before."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
 
 
 def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder: it cuts the lineage and survives lost executors. Deleted when the driver ends."""
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    try:
+        df.write.parquet(path)
+    finally:
+        removed_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = ROWS_PER_BATCH) -> None:
-    """Keep what one Arrow batch holds small; texts may be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def ascii_lower(text: Column) -> Column:
     """A-Z alone become a-z; null counts as empty. Pure ASCII takes the byte-wise path of lower()."""
     text = F.coalesce(text, F.lit(""))
@@ -66,7 +57,41 @@ def texts_of(batch, column: str = "text") -> list[str]:
     return [x or "" for x in batch.column(column).to_pylist()]
 
 
-# Vectorised hashing of words: a polynomial over randomised byte values, modulo 2**64, taken from prefix sums.
+def _is_scan(docs: DataFrame) -> bool:
+    """Whether docs is a projection or a fixed choice of the rows of files, so that a row's place in its file names it."""
+    node = docs._jdf.queryExecution().analyzed()
+    while node.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias"):
+        if not node.deterministic():
+            return False
+        node = node.children().head()
+    return node.getClass().getSimpleName() == "LogicalRelation" and node.relation().getClass().getSimpleName() == "HadoopFsRelation"
+
+
+def _named(columns: list[str], of: str = "") -> list[Column]:
+    return [F.col(of + "`" + c.replace("`", "``") + "`").alias(c) for c in columns]
+
+
+def located(docs: DataFrame, folder: str | None = None) -> DataFrame:
+    """doc_id, text, __row (struct of all columns of docs) and __at (struct of file and index: where the row lies).
+
+    What is no scan of files is written first: to folder, or to a table that goes when the driver ends."""
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("index")).alias("__at")
+    if "_metadata" not in docs.columns and _is_scan(docs):
+        return docs.select("doc_id", "text", F.struct(*_named(docs.columns)).alias("__row"), at)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rest = F.struct(*_named(others)) if others else F.struct(F.lit(None).cast("int").alias("none"))
+    stored = docs.select("doc_id", "text", rest.alias("__rest"))
+    if folder:
+        stored.write.parquet(folder)
+        stored = docs.sparkSession.read.schema(stored.schema).parquet(folder)
+    else:
+        stored = written(stored)
+    row = [F.col(c) if c in ("doc_id", "text") else _named([c], "__rest.")[0] for c in docs.columns]
+    return stored.select("doc_id", "text", F.struct(*row).alias("__row"), at)
+
+
+# Vectorised hashing of words for statistics and vocabularies: a polynomial over randomised byte values, modulo 2**64, taken
+# from prefix sums. Words can be made that collide, so nothing whose identity matters goes by it.
 
 _ODD, _ODD_INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
@@ -115,15 +140,15 @@ def word_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return out
 
 
-_IS_SPACE = np.zeros(256, bool)
-_IS_SPACE[[*SPACES.encode()]] = True
+IS_SPACE = np.zeros(256, bool)
+IS_SPACE[[*SPACES.encode()]] = True
 
 
 def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words in UTF-8 bytes."""
     word = np.empty(len(data) + 2, bool)
     word[0] = word[-1] = False
-    np.logical_not(_IS_SPACE[data], out=word[1:-1])
+    np.logical_not(IS_SPACE[data], out=word[1:-1])
     edges = np.flatnonzero(word[1:] != word[:-1])
     return edges[::2], edges[1::2]
 
@@ -145,14 +170,26 @@ def window_hashes(words: np.ndarray, size: int, salt: int = 0) -> np.ndarray:
     return mix(span_hashes(mix(words, salt), at, at + size), salt)
 
 
-def chunks(batches: Iterator, most_bytes: int = 2 << 20) -> Iterator:
-    """The Arrow batches cut into runs of rows whose texts hold about most_bytes; a single text is never cut."""
+def chunks(batches: Iterator, most_bytes: int = 2 << 20, column: str = "text") -> Iterator:
+    """The Arrow batches cut into runs of rows whose column holds about most_bytes; a single value is never cut."""
     import pyarrow.compute as pc
 
     for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         group = np.cumsum(sizes) // most_bytes
         cuts = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), batch.num_rows] if batch.num_rows else []
         for a, b in zip(cuts, cuts[1:]):
             if b > a:
                 yield batch.slice(a, b - a)
+
+
+def slices(batches: Iterator, rows: int) -> Iterator:
+    """The Arrow batches cut into runs of so many rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def small_batches(spark: SparkSession, rows: int = 256) -> None:
+    """Keep what one Arrow batch holds small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -5,21 +5,25 @@ no entry ever expires. The state is then read as a table; for every digest that
 normalised bytes of each member are compared with those of the member that stays, fetched by its locator. Texts whose
 digests agree but whose bytes differ form classes of their own. DataFrame and SQL operations only.
 
+The state may be kept in a folder and gone on with: a later run's rows then meet all that earlier runs have seen, whose texts
+are fetched by locator where a digest is hit, so the files of earlier runs must still be there.
+
 Defined results: a null text is the empty text; rows that repeat a doc_id are told apart by their locator, of which
 exactly one stays in a class; a null doc_id loses to any other; an empty table gives no rows; of the caller's
-columns, only doc_id and text are read.
+columns, whose names are free, only doc_id and text are read.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from contextlib import contextmanager
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.llm.common import ascii_lower, documents, shared_dir, written
+from tessera.llm.common import ascii_lower, documents, located, removed_at_end, shared_dir, written
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Bytes of the narrow feed that one micro-batch takes in.
@@ -39,23 +43,21 @@ def _settings(spark: SparkSession, **values: str):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def _located(docs: DataFrame) -> DataFrame:
-    """docs with the locator of each row: its file and its place there. What comes from no file is written first."""
-    try:
-        return docs.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
-    except AnalysisException:
-        return written(docs).select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+def _feeds(spark: SparkSession, top: str) -> list[str]:
+    """The folders of the feeds that were put into the state folder top, one a run."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{top}/feed")
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(x.getPath().toString() for x in files.listStatus(where)) if files.exists(where) else []
 
 
-def keyed_state(feed: DataFrame, files_per_batch: int | None = None) -> DataFrame:
-    """Stream the stored feed (digest, who) through keyed state: (digest, keep, hits) of all that was ever seen."""
-    spark = feed.sparkSession
-    at = shared_dir(spark)
+def keyed_state(spark: SparkSession, top: str, schema: T.StructType, files_per_batch: int | None = None) -> DataFrame:
+    """Stream what is new below top/feed (digest, who) through the keyed state in top: (digest, keep, hits) of all that was ever seen."""
+    at = f"{top}/state"
     # Space is not allocated ahead: a store for every partition would take megabytes while it is still empty.
     with _settings(spark, spark__sql__streaming__stateStore__providerClass=ROCKS, spark__sql__streaming__stateStore__rocksdb__allowFAllocate="false"):
-        reader = spark.readStream.schema(feed.schema)
+        reader = spark.readStream.schema(schema)
         reader = reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader.option("maxBytesPerTrigger", FEED_BYTES)
-        seen = reader.parquet(feed.inputFiles()[0].rpartition("/")[0]).groupBy("digest").agg(F.max("who").alias("keep"), F.count(F.lit(1)).alias("hits"))
+        seen = reader.parquet(f"{top}/feed/*").groupBy("digest").agg(F.max("who").alias("keep"), F.count(F.lit(1)).alias("hits"))
         query = seen.writeStream.format("noop").outputMode("update").option("checkpointLocation", at).trigger(availableNow=True).start()
         query.awaitTermination()
         state = spark.read.format("statestore").load(at)
@@ -64,47 +66,83 @@ def keyed_state(feed: DataFrame, files_per_batch: int | None = None) -> DataFram
         return written(state.select(F.col("key.digest").alias("digest"), F.col(f"value.`{values[0]}`").alias("keep"), F.col(f"value.`{values[1]}`").alias("hits")))
 
 
-def classes(docs: DataFrame, digest: Callable[[Column], Column] | None = None, files_per_batch: int | None = None) -> DataFrame:
-    """For each row of docs: doc_id, __file, __row, sha (binary), keep (struct of the row that stays), group_size.
+def _who() -> Column:
+    return F.struct("doc_id", F.col("__at.file").alias("file"), F.col("__at.index").alias("index")).alias("who")
 
-    digest: of the normalised text; SHA-256 unless a test asks for a weaker one.
-    """
+
+def _earlier_texts(spark: SparkSession, feeds: list[str], schema: T.StructType, hit: DataFrame) -> DataFrame | None:
+    """who and norm of the rows of earlier runs under the digests of hit, fetched by their locators."""
+    old = spark.read.schema(schema).parquet(*feeds).join(hit.select("digest"), "digest", "left_semi").select("who")
+    files = [r.file for r in old.select("who.file").distinct().collect()]  # names of files, which are few beside their rows
+    if not files:
+        return None
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("index")).alias("__at")
+    texts = spark.read.parquet(*files).select("doc_id", ascii_lower(F.col("text")).alias("norm"), at).select(_who(), "norm")
+    return texts.join(old, "who", "left_semi")
+
+
+def _classed(rows: DataFrame, top: str, digest: Callable[[Column], Column] | None, files_per_batch: int | None) -> DataFrame:
+    """For each of the located rows: who, sha (binary), keep (who of the row that stays), group_size."""
+    spark = rows.sparkSession
     sha = lambda t: F.unhex(F.sha2(t, 256))
     digest = digest or sha
-    norm = _located(docs).select("doc_id", "__file", "__row", ascii_lower(F.col("text")).alias("norm"))
-    who = F.struct("doc_id", "__file", "__row")
-    feed = written(norm.select(digest(F.col("norm")).alias("digest"), who.alias("who"), sha(F.col("norm")).alias("sha")))
-    if not feed.inputFiles():
-        return feed.select("who.*", "sha", F.col("who").alias("keep"), F.lit(1).cast("long").alias("group_size")).limit(0)
-    state = keyed_state(feed, files_per_batch)
+    norm = rows.select(_who(), ascii_lower(F.col("text")).alias("norm"))
+    before = _feeds(spark, top)
+    told = norm.select(digest(F.col("norm")).alias("digest"), "who", sha(F.col("norm")).alias("sha"))
+    own = f"{top}/feed/{uuid.uuid4().hex}"
+    told.write.parquet(own)
+    feed = spark.read.schema(told.schema).parquet(own)
+    if not feed.take(1):
+        return feed.select("who", "sha", F.col("who").alias("keep"), F.lit(1).cast("long").alias("group_size")).limit(0)
+    state = keyed_state(spark, top, told.schema, files_per_batch)
     hit = state.where("hits > 1")
-    member = written(norm.select(digest(F.col("norm")).alias("digest"), who.alias("who"), "norm").join(hit, "digest"))
+    if before:
+        hit = written(hit.join(feed.select("digest").distinct(), "digest", "left_semi"))
+        earlier = _earlier_texts(spark, before, told.schema, hit)
+        norm = norm if earlier is None else norm.unionByName(earlier)
+    member = written(norm.select(digest(F.col("norm")).alias("digest"), "who", "norm").join(hit, "digest"))
     stays = member.where("who <=> keep").select("digest", F.col("norm").alias("kept_norm"))
     odd = member.join(stays, "digest").where("norm != kept_norm").select("digest", "who", "norm")
     # Texts that share a digest without being equal: hardly ever any.
     odd_class = odd.groupBy("digest", "norm").agg(F.max("who").alias("odd_keep"), F.count(F.lit(1)).alias("odd_size"))
     odd_row = written(odd.join(odd_class, ["digest", "norm"]).select("digest", "who", "odd_keep", "odd_size"))
     less = odd_row.groupBy("digest").agg(F.count(F.lit(1)).alias("less"))
-    out = feed.join(state, "digest").join(less, "digest", "left").join(odd_row.drop("digest"), "who", "left") if odd_row.take(1) else feed.join(state, "digest").withColumns({"less": F.lit(0), "odd_keep": F.lit(None).cast(feed.schema["who"].dataType), "odd_size": F.lit(None).cast("long")})
-    return out.select(
-        "who.*",
-        "sha",
-        F.coalesce("odd_keep", "keep").alias("keep"),
-        F.coalesce("odd_size", F.col("hits") - F.coalesce("less", F.lit(0))).alias("group_size"),
-    )
+    known = feed.join(state, "digest")
+    if odd_row.take(1):
+        out = known.join(less, "digest", "left").join(odd_row.drop("digest"), "who", "left")
+    else:
+        out = known.withColumns({"less": F.lit(0), "odd_keep": F.lit(None).cast(feed.schema["who"].dataType), "odd_size": F.lit(None).cast("long")})
+    return out.select("who", "sha", F.coalesce("odd_keep", "keep").alias("keep"), F.coalesce("odd_size", F.col("hits") - F.coalesce("less", F.lit(0))).alias("group_size"))
+
+
+def classes(docs: DataFrame, digest: Callable[[Column], Column] | None = None, files_per_batch: int | None = None, state: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The located rows of docs, and for each of them who, sha (binary), keep (who of the row that stays) and group_size.
+
+    digest: of the normalised text; SHA-256 unless a test asks for a weaker one. state: a folder that holds the state of earlier
+    runs, with which this one goes on, or which it begins; without it the state goes when the driver ends.
+    """
+    spark = docs.sparkSession
+    top = state.rstrip("/") if state else shared_dir(spark)
+    rows = located(docs, f"{top}/texts/{uuid.uuid4().hex}" if state else None)
+    try:
+        return rows, _classed(rows, top, digest, files_per_batch)
+    finally:
+        if not state:
+            removed_at_end(spark, top)
 
 
 def exact_dedup(docs: DataFrame, **options) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
-    kept = F.struct("doc_id", "__file", "__row").eqNullSafe(F.col("keep"))
-    return classes(docs, **options).select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", kept.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    _, out = classes(docs, **options)
+    kept = F.col("who").eqNullSafe(F.col("keep"))
+    return out.select("who.doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", kept.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
-def kept_documents(docs: DataFrame) -> DataFrame:
+def kept_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    docs = docs if docs.inputFiles() else written(docs)
-    gone = classes(docs).where(~F.struct("doc_id", "__file", "__row").eqNullSafe(F.col("keep"))).select("__file", "__row")
-    return _located(docs).join(gone, ["__file", "__row"], "left_anti").select(*docs.columns)
+    rows, out = classes(docs, **options)
+    gone = out.where(~F.col("who").eqNullSafe(F.col("keep"))).select(F.struct("who.file", "who.index").alias("__at"))
+    return rows.join(gone, "__at", "left_anti").select("__row.*")
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

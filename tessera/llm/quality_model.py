@@ -7,7 +7,7 @@ of unlabelled texts and of positives above it. Inputs are statistics of the whol
 held out, and held-out rows are not used as unlabelled text either.
 
 Fitting takes at most MOST_POSITIVE labelled positives and MOST_UNLABELLED unlabelled texts, those of least hash of doc_id; every
-text is scored. Defined results: a null text is the empty text, which has a score like any other; repeated rows have equal scores;
+text is scored. Defined results: a doc_id that is labelled both ways is no positive; a null text is the empty text, which has a score like any other; repeated rows have equal scores;
 without positives or without texts to learn from, every score is one half; an empty table gives no rows; other columns are ignored.
 """
 
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import chunks, documents, small_batches, span_hashes, texts_of, window_hashes, word_hashes, word_spans, written
+from tessera.llm.common import chunks, documents, span_hashes, texts_of, window_hashes, word_hashes, word_spans, written
 
 MOST_POSITIVE, MOST_UNLABELLED = 4000, 8000
 HIDDEN, EPOCHS, RATE, DECAY = 16, 300, 0.02, 0.1
@@ -56,7 +56,8 @@ def features(texts: list[str]) -> np.ndarray:
             count = count - 1  # the one that was put after each text
         out.append(np.log1p(1000 * count / np.maximum(size, 1)))
     words, bounds = word_hashes([t.lower() for t in raw])
-    distinct = lambda values, where: per_text(None, np.unique(np.stack([where.astype(np.uint64), values]), axis=1)[0].astype(np.int64)) if len(values) else np.zeros(len(raw))
+    # The text above, 43 bits of the hash below: chunks hold fewer than 2**21 texts.
+    distinct = lambda values, where: per_text(None, (np.unique(where.astype(np.uint64) << np.uint64(43) | values >> np.uint64(21)) >> np.uint64(43)).astype(np.int64))
     out.append(distinct(words, of) / many)
     three = window_hashes(words, 3)
     at = np.arange(len(three))
@@ -157,7 +158,6 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 11) -> tuple
 
 
 def _featured(docs: DataFrame) -> DataFrame:
-    small_batches(docs.sparkSession, 1000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
@@ -176,7 +176,8 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, held_out, score, predicted."""
     rows = written(_featured(docs).withColumn("held_out", held_out(4, 2)))
     open_rows = rows.where("NOT held_out AND doc_id IS NOT NULL")
-    trusted = labels.where("quality = 1").select("doc_id").where(~held_out(4, 2)).distinct()
+    told = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(4, 2)).groupBy("doc_id").agg(F.min("quality").alias("least"))
+    trusted = told.where("least = 1").select("doc_id")
     take = lambda df, n: np.array([r.x for r in df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).select("x").collect()], np.float32).reshape(-1, N_FEATURES)
     positive, unlabelled = take(open_rows.join(trusted, "doc_id", "left_semi"), MOST_POSITIVE), take(open_rows, MOST_UNLABELLED)
     net = train(positive, unlabelled)[0] if len(positive) and len(unlabelled) else None
@@ -187,7 +188,6 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
             score = net.score(x) if net else np.full(batch.num_rows, 0.5)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score, pa.float64()), pa.array((score >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    small_batches(docs.sparkSession, 10_000)
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 

@@ -2,8 +2,8 @@
 
 Each text gives a vector of transformed statistics. For every language and source, the covariance of least determinant over a share
 SUBSET of its texts is approached by concentration steps from two starts, at medians and quartiles and at medians and
-median deviations: distances to the current estimate, the SUBSET of least distance, its mean and covariance, and again.
-The end of least determinant is taken. Texts whose Mahalanobis distance to it passes CUTOFF are rejected. Sources with few texts in a language are pooled. All sums run over whole numbers, so they are
+median deviations: distances to the current estimate, the SUBSET of least distance, its mean and covariance, and again, until the
+determinant no longer falls. The end of least determinant is taken. Texts whose Mahalanobis distance to it passes CUTOFF are rejected. Sources with few texts in a language are pooled. All sums run over whole numbers, so they are
 exact in any order; quantiles of distances are taken over narrow bins. DataFrame and SQL operations only.
 
 Defined results: a null text has no words, and fails the base rules; null languages and sources form groups of their
@@ -31,7 +31,8 @@ P = len(FLOORS)
 SUBSET, CONSISTENCY = 0.5, 1.912
 #: Squared distance; a normal vector passes it about once in a million (chi-square, P degrees).
 CUTOFF = 36.0
-ROUNDS = 3
+#: A step that lowers the determinant's root by no more than this share is the last; so many steps always suffice in practice.
+LEAST_FALL, MOST_ROUNDS = 1e-6, 100
 #: Texts below which the sources of a language are pooled.
 LEAST_GROUP = 100
 #: Up to so many groups (a row of some 200 bytes each) estimates are broadcast, else joined by shuffle.
@@ -52,9 +53,11 @@ def with_counts(docs: DataFrame) -> DataFrame:
             "__windows": F.when(F.size("__words") >= 3, windows),
         }
     )
-    # Windows in order of their hashes; only where some hash is found twice.
-    out = out.withColumn("__sorted", F.when(F.size(F.array_distinct("__windows")) < F.size("__windows"), F.sort_array(F.transform("__windows", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))))
-    twice = F.filter("__sorted", lambda e, k: (F.get("__sorted", k - 1)["x"] == e["x"]) | (F.get("__sorted", k + 1)["x"] == e["x"]))
+    # Windows in order of their hashes and words; only where some hash is found twice. The words decide what repeats.
+    window = lambda x, i: F.struct(x.alias("x"), F.slice("__words", i + 1, F.lit(3)).alias("w"), i.alias("i"))
+    out = out.withColumn("__sorted", F.when(F.size(F.array_distinct("__windows")) < F.size("__windows"), F.sort_array(F.transform("__windows", window))))
+    same = lambda e, f: F.coalesce((f["x"] == e["x"]) & (f["w"] == e["w"]), F.lit(False))
+    twice = F.filter("__sorted", lambda e, k: same(e, F.get("__sorted", k - 1)) | same(e, F.get("__sorted", k + 1)))
     covered = F.size(F.array_distinct(F.flatten(F.transform(twice, lambda e: F.array(e["i"], e["i"] + 1, e["i"] + 2)))))
     out = out.withColumns(
         {
@@ -75,7 +78,7 @@ def _statistics() -> list[Column]:
 
 
 def _group() -> list[Column]:
-    return [F.coalesce("lang", F.lit("<null>")).alias("__lang"), F.coalesce("source", F.lit("<null>")).alias("__source")]
+    return [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")).alias(f"__{c}") for c in ("lang", "source")]
 
 
 def _join(rows: DataFrame, side: DataFrame, on: list[str], n: int, how: str = "inner") -> DataFrame:
@@ -129,15 +132,23 @@ def estimates(vectors: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     spreads = [[f"(p{i}[2] - p{i}[0]) / 1.349D" for i in range(P)], [f"d{i} * 1.4826D" for i in range(P)]]
     both = written(_join(quartiles, deviations, ["g"], n))
     starts = [both.selectExpr("g", f"{k} AS start", *[f"p{i}[1] AS m{i}" for i in range(P)], *[f"1 / greatest({spread[i]}, {STEPS}D) AS w{i}{i}" if i == j else f"0.0D AS w{i}{j}" for i, j in TRIANGLE]) for k, spread in enumerate(spreads)]
-    now = starts[0].unionByName(starts[1])
-    for _ in range(ROUNDS):
-        now = written(now)
-        near = _join(rows, now, ["g"], 2 * n).select("g", "start", *[f"x{i}" for i in range(P)], _bin(_distance()).alias("bin"))
+    now = written(starts[0].unionByName(starts[1]).selectExpr("*", "CAST('Infinity' AS DOUBLE) AS root", "TRUE AS falls"))
+    for _ in range(MOST_ROUNDS):
+        open_now = now.where("falls").drop("root", "falls")
+        if not open_now.take(1):
+            break
+        near = _join(rows, open_now, ["g"], 2 * n).select("g", "start", *[f"x{i}" for i in range(P)], _bin(_distance()).alias("bin"))
         reach = written(near.groupBy("g", "start").agg(F.percentile("bin", SUBSET).alias("reach")))
         subset = _join(near, reach, ["g", "start"], 2 * n).where("bin <= reach")
         sums = ["count(1) AS n", *[f"sum(x{i}) AS s{i}" for i in range(P)], *[f"sum(x{i} * x{j}) AS q{i}{j}" for i, j in TRIANGLE]]
-        now = _factor(written(subset.groupBy("g", "start").agg(*map(F.expr, sums))))
-    least = written(now).groupBy("g").agg(F.min_by(F.struct(*ESTIMATE), F.struct("root", "start")).alias("e"))
+        step = _factor(written(subset.groupBy("g", "start").agg(*map(F.expr, sums))))
+        # Each start keeps its least determinant, and goes on while a step lowers it.
+        old = now.select("g", "start", F.struct("root", *ESTIMATE).alias("old"))
+        both_now = old.join(step.select("g", "start", F.struct("root", *ESTIMATE).alias("new")), ["g", "start"], "left")
+        better = F.coalesce(F.col("new.root") < F.col("old.root"), F.lit(False))
+        falls = F.coalesce(F.col("new.root") < F.col("old.root") * (1 - LEAST_FALL), F.lit(False))
+        now = written(both_now.select("g", "start", F.when(better, F.col("new")).otherwise(F.col("old")).alias("e"), falls.alias("falls")).select("g", "start", "e.*", "falls"))
+    least = now.groupBy("g").agg(F.min_by(F.struct(*ESTIMATE), F.struct("root", "start")).alias("e"))
     return groups, written(least.select("g", "e.*")), n
 
 

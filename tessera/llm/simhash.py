@@ -8,7 +8,8 @@ plane, and a block of comparisons is abandoned when every distance in it has pas
 MOST_IN_UNIT is dealt out as pairs of its parts. Of the links in a unit of work, a spanning forest goes on to the connected components.
 
 Defined results: a null text has no words, and fingerprint zero, as an empty one; null doc_ids are classed like others but are
-no component's smallest; repeated rows share a class; an empty table gives no rows; other columns are ignored.
+no component's smallest; repeated rows share a class; of rows that share a doc_id, kept_documents() keeps or drops each on its own;
+an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import chunks, documents, small_batches, texts_of, written
+from tessera.llm.common import chunks, documents, located, texts_of, written
 from tessera.llm.components import star_roots
 
 RADIUS = 3
@@ -51,16 +52,16 @@ def fingerprint(text: str, size: int = SHINGLE) -> int:
     return int(np.packbits(over, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every row."""
-    small_batches(docs.sparkSession, 1000)
+def fingerprints(docs: DataFrame, *also: str) -> DataFrame:
+    """doc_id, the columns of also, and fp (the fingerprint as a signed long) of every row."""
+    schema = docs.select("doc_id", *also).schema.add("fp", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             fp = np.array([fingerprint(t) for t in texts_of(batch)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", *also)), pa.array(fp)], names=schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", "text", *also).mapInArrow(run, schema)
 
 
 def bit_planes(fps: np.ndarray) -> np.ndarray:
@@ -71,41 +72,59 @@ def bit_planes(fps: np.ndarray) -> np.ndarray:
     return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view(np.uint64)
 
 
-def links(fps: np.ndarray, radius: int = RADIUS, tile: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """Indices i < j of all fingerprints within radius (at most 3) of one another."""
+_FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
+def _near(planes: np.ndarray, queries: np.ndarray, passed: np.ndarray, radius: int) -> np.ndarray | None:
+    """Which lanes of a block lie within radius of each query, as bits; None once every distance has passed the radius.
+
+    planes (planes, words) and queries (planes, queries) hold the bits in one order, the latter as words of ones or noughts; passed: lanes
+    that are no fingerprints, as bits."""
+    one = np.zeros((queries.shape[1], planes.shape[1]), np.uint64)
+    two, over = one.copy(), one | passed
+    for k, (plane, query) in enumerate(zip(planes, queries)):
+        x = plane ^ query[:, None]
+        carry = one & x
+        one ^= x
+        over |= two & carry
+        two ^= carry
+        if k >= 15 and k % 8 == 7 and (over == _FULL).all():
+            return None
+    out = ~over
+    if radius < 3:
+        out &= ~(one & two)
+    if radius < 2:
+        out &= ~two
+    if radius < 1:
+        out &= ~one
+    return out
+
+
+def links(fps: np.ndarray, radius: int = RADIUS, block: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Indices i < j of all fingerprints within radius (at most 3) of one another.
+
+    64 fingerprints at a time are compared with themselves, and then with those after them in blocks of so many words of 64. Bits in
+    which the fingerprints differ most are counted first, so that blocks are abandoned early."""
     if radius > 3:
         raise ValueError("two counter planes count to three")
-    planes, n = bit_planes(fps), len(fps)
-    left, right = [], []
-    full = np.uint64(0xFFFFFFFFFFFFFFFF)
-    for first in range(0, n, tile):
-        part = planes[:, first // 64 :]
-        mine = fps[first : first + tile]
-        # Word-wide masks of each query's bits: all ones where the bit is set.
-        one = np.zeros((len(mine), part.shape[1]), np.uint64)
-        two, over = one.copy(), one.copy()
-        for b in range(64):
-            x = part[b] ^ np.where((mine >> np.uint64(b)) & np.uint64(1), full, np.uint64(0))[:, None]
-            carry = one & x
-            one ^= x
-            over |= two & carry
-            two ^= carry
-            if b >= 15 and b % 8 == 7 and (over == full).all():
-                break
-        near = ~over
-        if radius < 3:
-            near &= ~(one & two)
-        if radius < 2:
-            near &= ~two
-        if radius < 1:
-            near &= ~one
-        hit = np.unpackbits(near.view(np.uint8), axis=1, bitorder="little")
-        i, j = np.nonzero(hit)
-        i, j = i + first, j + first // 64 * 64
-        keep = (j > i) & (j < n)
-        left.append(i[keep])
-        right.append(j[keep])
-    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, int), np.zeros(0, int))
+    n, planes = len(fps), bit_planes(fps)
+    order = np.argsort(np.abs(2 * np.bitwise_count(planes).sum(axis=1, dtype=np.int64) - n), kind="stable")
+    planes, passed = planes[order], np.zeros(planes.shape[1], np.uint64)
+    if n % 64:
+        passed[-1] = _FULL << np.uint64(n % 64)
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for word in range(planes.shape[1]):
+        mine = fps[64 * word : 64 * word + 64]
+        queries = np.where((mine >> order.astype(np.uint64)[:, None]) & np.uint64(1), _FULL, np.uint64(0))
+        for first, last in [(word, word + 1), *((k, k + block) for k in range(word + 1, planes.shape[1], block))]:
+            near = _near(planes[:, first:last], queries, passed[first:last], radius)
+            if near is None:
+                continue
+            i, j = np.nonzero(np.unpackbits(near.view(np.uint8), axis=1, bitorder="little"))
+            i, j = i + 64 * word, j + 64 * first
+            left.append(i[j > i])
+            right.append(j[j > i])
+    return np.concatenate(left), np.concatenate(right)
 
 
 def forest(i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
@@ -174,25 +193,31 @@ def link_forest(classes: DataFrame) -> DataFrame:
     # Unit i * parts + j compares parts i and j; a part takes part in one unit with each.
     units = F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda o: F.least(o, own) * parts + F.greatest(o, own))
     dealt = rows.join(large, "key", "left").select("key", "fp", F.explode(F.when(F.col("n").isNull(), F.array(F.lit(0).cast("long"))).otherwise(units)).alias("unit"))
-    small_batches(classes.sparkSession, 10_000)
     return dealt.repartition("key", "unit").sortWithinPartitions("key", "unit").mapInArrow(_linked_units, "a long, b long")
 
 
+def _classed(rows: DataFrame, *who: str) -> DataFrame:
+    """rows (fp, and the columns who) with keep: the least who of all rows that are reachable, where null counts as greatest."""
+    rank = F.struct(*[x for c in who for x in (F.col(c).isNull().alias(f"no_{c}"), F.col(c))])
+    classes = written(rows.groupBy("fp").agg(F.min(rank).alias("least")))
+    star = star_roots(link_forest(classes))
+    root = classes.join(star, classes.fp == star.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    least = root.groupBy("root").agg(F.min("least").alias("keep"))
+    return rows.join(root.join(least, "root").select("fp", "keep"), "fp")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable)."""
     rows = written(fingerprints(docs))
-    classes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
-    star = star_roots(link_forest(classes))
-    root = classes.join(star, classes.fp == star.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    least = root.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = root.join(least, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return _classed(rows, "doc_id").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("keep.doc_id").alias("component_id"))
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component; a component of null ids alone stays."""
-    gone = near_duplicates(docs).where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of docs of each component, with all its columns: the one of smallest doc_id, and of rows that share it the one that is stored first."""
+    place = located(docs)
+    rows = written(fingerprints(place.select("doc_id", "text", "__at"), "__at"))
+    gone = _classed(rows, "doc_id", "__at").where("NOT (doc_id <=> keep.doc_id AND __at = keep.__at)").select("__at")
+    return place.join(gone, "__at", "left_anti").select("__row.*")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

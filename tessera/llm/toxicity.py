@@ -7,7 +7,8 @@ score comes from its highest window. Training takes, in each epoch, the highest
 
 The vocabularies hold what several labelled texts have; the first cell of an embedding starts at its evidence for the label in the texts it
 is learned from. Labels come from rows that are not held out, at most MOST_EACH of each label, those of least hash of
-doc_id; every whole text is scored. Defined results: a null or empty text has no window, and its score is that of the
+doc_id, and of those texts the first that hold MOST_BYTES together; a doc_id that is labelled both ways teaches nothing, and of rows
+that share one the least text is learned from. Every whole text is scored. Defined results: a null or empty text has no window, and its score is that of the
 output's bias; repeated rows have equal scores; without labels of both kinds every score is zero; an empty table gives no rows;
 other columns are ignored.
 """
@@ -18,10 +19,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import chunks, documents, mix, small_batches, texts_of, word_keys
+from tessera.llm.common import chunks, documents, mix, texts_of, word_keys
 from tessera.llm.quality_model import held_out
 
 SPAN, STRIDE = 64, 32
@@ -30,6 +31,8 @@ WORD_CELLS, CHAR_CELLS, HIDDEN = 4, 4, 8
 TRIGRAMS = 2048
 LEAST_TEXTS, MOST_WORDS = 3, 50_000
 MOST_EACH = 1000
+#: Bytes of labelled texts that are learned from.
+MOST_BYTES = 64 << 20
 EPOCHS, BATCH, RATE, DECAY = 10, 128, 0.01, 1e-4
 #: Windows of a text that training chooses among.
 CHOICE = 4
@@ -284,10 +287,12 @@ def train(texts: list[str], label: np.ndarray, seed: int = 5) -> Network:
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, held_out, score, predicted."""
-    small_batches(docs.sparkSession, 1000)
-    known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(5, 0)).select("doc_id", "toxic").distinct()
+    known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(5, 0)).groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most").drop("most")
     sample = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_EACH) for y in (0, 1)]
-    learn = docs.select("doc_id", "text").join(sample[0].union(sample[1]), "doc_id").select("doc_id", "toxic", F.coalesce("text", F.lit("")).alias("text")).collect()
+    chosen = docs.select("doc_id", "text").join(sample[0].union(sample[1]), "doc_id").select("doc_id", "toxic", F.coalesce("text", F.lit("")).alias("text"))
+    one = chosen.where(F.octet_length("text") <= MOST_BYTES).groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    so_far = F.sum(F.octet_length("text").cast("long")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # over 2 * MOST_EACH rows
+    learn = one.withColumn("so_far", so_far).where(F.col("so_far") <= MOST_BYTES).drop("so_far").collect()
     learn.sort(key=lambda r: (r.doc_id, r.toxic, r.text))
     label = np.array([r.toxic for r in learn], np.float64)
     net = train([r.text for r in learn], label) if len(set(label.tolist())) == 2 else None
