@@ -1,60 +1,57 @@
-"""Byte-pair encoding by a deterministic automaton over tokens.
+"""Byte-pair encoding by a deterministic automaton.
 
-The automaton starts with one arc between any two bytes: its states are "the last token was t", its arcs are labelled
-with tokens. Each merge (u, v) -> w, in order, adds a gadget: w gets the ways in of u and the ways out of v, and the arc
-from u to v goes. After all merges, a text has exactly one path, and the labels along it are its ids. A full table of
-arcs would have a cell for every pair of tokens, so the gadgets are kept as (left, right, rank) and an arc is resolved
-through them when it is first asked for; the answers form the transition table. Words found by the tokenizer's pattern
-are encoded by following the table; decoding emits the arcs' labels.
+Compiling starts with one arc between any two bytes: a place is "the last token was t", and its arcs are labelled with tokens. Each
+merge (u, v) -> w, in order, adds a gadget: w gets the ways in of u and the ways out of v, and the arc from u to v goes. After all
+merges, a text has exactly one path, and the labels along it are its ids. A full table of arcs would have a cell for every
+pair of tokens, so the gadgets are kept as (left, right, rank), and an arc is resolved through them.
+
+Spelling each arc's label byte by byte and taking sets of places makes the automaton deterministic over bytes: a state is the set of
+(last token, bytes read since) that some arc may still go on from, and it names the token that ends here. The table has a row of 256
+symbols for each state that was reached; a cell is filled when it is first asked for. Words found by the tokenizer's
+pattern are encoded by stepping through the table; decoding emits the arcs' labels.
 
 Defined results: a null text is the empty text (no ids); special tokens in a text become their ids, as the library has
-it; an empty table gives no rows; other columns are ignored.
+it; repeated rows have equal results; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm.common import chunks, documents, small_batches, texts_of
-from tessera.llm.presplit import Encoder, WordTable
+from tessera.llm.common import chunks, documents, texts_of
+from tessera.llm.presplit import Encoder, WordTable, printable_bytes
 
-#: Pairs whose arcs a worker remembers.
-MOST_ARCS = 1_000_000
+#: Rows of the transition table (of a kilobyte each); beyond them it starts anew.
+MOST_STATES = 1 << 17
 _NEVER = 1 << 60
-
-
-def printable_bytes() -> dict[str, int]:
-    """The characters by which byte-level vocabularies write the 256 bytes: printable ones stand for themselves."""
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(own)]
-    return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
+_UNKNOWN, _ROW = -1, array("i", [-1]) * 256
 
 
 class Automaton:
     """Compiled from an ordered list of merges (left id, right id, merged id) and the ids of the single bytes."""
 
-    def __init__(self, byte_ids: list[int], labels: dict[int, bytes], merges: list[tuple[int, int, int]]):
-        self.labels = labels
-        self.rank = dict.fromkeys(byte_ids, -1)  # when a state came to be
+    def __init__(self, byte_ids: list[int], labels: dict[int, bytes], merges: list[tuple[int, int, int]], most_states: int = MOST_STATES):
+        self.labels, self.most_states = labels, most_states
+        self.rank = dict.fromkeys(byte_ids, -1)  # when a place came to be
         self.gadget: dict[int, tuple[int, int]] = {}
         self.cut: dict[tuple[int, int], int] = {}  # when an arc went
-        self.arcs: dict[tuple[int, int], bool] = {}
         for when, (u, v, w) in enumerate(merges):
             if w in self.rank or u not in self.rank or v not in self.rank or not self._arc(u, v, when):
                 continue  # no path reaches this merge
             self.rank[w], self.gadget[w], self.cut[u, v] = when, (u, v), when
-        self.arcs.clear()
-        self.token = {labels[t]: t for t in self.rank}
-        self.longest = max(map(len, self.token))
+        self._spell()
+        self._reset()
 
-    def _arc(self, a: int, b: int, before: int) -> bool:
+    def _arc(self, a: int, b: int, before: int = _NEVER) -> bool:
         """Whether the arc from a to b is there when all merges below before are in."""
         while True:
             if self.cut.get((a, b), _NEVER) < before:
@@ -69,31 +66,77 @@ class Automaton:
             else:  # the ways into b are those its left part had, once the merged arc is gone
                 b, before = self.gadget[b][0], rb + 1
 
-    def arc(self, a: int, b: int) -> bool:
-        known = self.arcs.get((a, b))
-        if known is None:
-            if len(self.arcs) >= MOST_ARCS:
-                self.arcs.clear()
-            known = self.arcs[a, b] = self._arc(a, b, _NEVER)
-        return known
+    def _spell(self) -> None:
+        """The labels as a tree of bytes: child of (node, byte), the token that ends at a node, whether a node has children."""
+        self.size = {token: len(self.labels[token]) for token in self.rank}
+        self.child: dict[int, int] = {}
+        self.ends: list[int] = [_UNKNOWN]
+        self.inner: list[bool] = [False]
+        for token in self.rank:
+            node = 0
+            for c in self.labels[token]:
+                self.inner[node] = True
+                below = self.child.get(node << 8 | c)
+                if below is None:
+                    below = self.child[node << 8 | c] = len(self.ends)
+                    self.ends.append(_UNKNOWN)
+                    self.inner.append(False)
+                node = below
+            self.ends[node] = token
+
+    def _reset(self) -> None:
+        self.table = array("i")
+        self.token: list[int] = []
+        self.states: dict[tuple, int] = {}
+        self.sets: list[tuple] = []
+        self.start = self._state(((_UNKNOWN, 0),), _UNKNOWN)
+
+    def _state(self, places: tuple, token: int) -> int:
+        """The row of a set of (last token, node of the tree), in which token has just ended."""
+        have = self.states.get(places)
+        if have is None:
+            have = self.states[places] = len(self.sets)
+            self.sets.append(places)
+            self.table.extend(_ROW)
+            self.token.append(token)
+        return have
+
+    def _fill(self, state: int, c: int) -> int:
+        """The state that byte c leads to, put into the table."""
+        child, ends, inner = self.child, self.ends, self.inner
+        ended, places = _UNKNOWN, []
+        for last, node in self.sets[state]:
+            below = child.get(node << 8 | c)
+            if below is None:
+                continue
+            token = ends[below]
+            if token != _UNKNOWN and (last == _UNKNOWN or self._arc(last, token)):
+                ended = token  # of all paths that end here, just one is there
+            if inner[below]:
+                places.append((last, below))
+        if len(self.sets) >= self.most_states:
+            self._reset()
+            return self._state((*places, (ended, 0)), ended)
+        self.table[state << 8 | c] = to = self._state((*places, (ended, 0)), ended)
+        return to
 
     def encode(self, word: bytes) -> list[int]:
-        """The labels of the one path over word. The state at each place is unique, so one pass finds it."""
-        if (whole := self.token.get(word)) is not None:
-            return [whole]
-        n, token, arc, longest = len(word), self.token, self.arc, self.longest
-        state: list[int] = [-1] * (n + 1)
-        for i in range(1, n + 1):
-            for j in range(max(0, i - longest), i):
-                t = token.get(word[j:i])
-                if t is not None and (j == 0 or arc(state[j], t)):
-                    state[i] = t
-                    break
-        out, i, labels = [], n, self.labels
+        """The labels of the one path over word: one step of the table a byte, then back along the tokens that ended."""
+        state, table, token, path = self.start, self.table, self.token, []
+        for c in word:
+            to = table[state << 8 | c]
+            if to < 0:
+                to = self._fill(state, c)
+                table, token = self.table, self.token
+            state = to
+            path.append(token[to])
+        out, i, size = [], len(path), self.size
         while i:
-            out.append(state[i])
-            i -= len(labels[state[i]])
-        return out[::-1]
+            last = path[i - 1]
+            out.append(last)
+            i -= size[last]
+        out.reverse()
+        return out
 
 
 class AutomatonTokenizer:
@@ -115,7 +158,7 @@ class AutomatonTokenizer:
             self.label[i] = b
         for s, i in special.items():
             self.label[i] = s.encode()
-        self.encoder = Encoder(WordTable(lambda words: [self.automaton.encode(w.encode()) for w in words]), self._plain, tuple(special))
+        self.encoder = Encoder(WordTable(lambda word: self.automaton.encode(word.encode())), self._plain, tuple(special))
 
     def _plain(self, text: str) -> list[int]:
         out: list[int] = []
@@ -132,13 +175,18 @@ class AutomatonTokenizer:
         return b"".join(map(self.label.__getitem__, ids))
 
 
+@lru_cache(maxsize=1)
+def compiled(path: str, pattern: str) -> AutomatonTokenizer:
+    """The tokenizer of a worker, which it keeps for its later tasks."""
+    return AutomatonTokenizer(path, pattern)
+
+
 def encoded(docs: DataFrame, tokenizer: str, pattern: str, with_ids: bool = False) -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256; with_ids adds ids (array<int>) and the decoded text."""
-    small_batches(docs.sparkSession, 2000)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = AutomatonTokenizer(tokenizer, pattern)
+        own = compiled(tokenizer, pattern)
         digits = np.array([str(i) for i in range(len(own.label))], object)
         for batch in chunks(batches):
             ids, begins = own.encoder(texts_of(batch))

@@ -188,8 +188,3 @@ def slices(batches: Iterator, rows: int) -> Iterator:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
-
-
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Keep what one Arrow batch holds small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

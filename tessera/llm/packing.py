@@ -7,7 +7,8 @@ group's sequences hold exactly its tokens: as many full ones as fit, and the res
 powers of two, so nothing is padded. Sequences are numbered within the partition that makes them; there is no shuffle.
 
 Defined results: a null or empty text is a document of its end id alone; repeated rows and doc_ids are packed once
-each; an empty table gives no rows; other columns are ignored.
+each; of pieces of equal length the one read first goes first, and of sequences of equal cost the first takes it; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm.common import chunks, documents, small_batches, texts_of
+from tessera.llm.common import chunks, documents, texts_of
 
 SEQUENCE = 2048
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
@@ -64,41 +65,43 @@ def pack(lengths: np.ndarray, size: int = SEQUENCE, linear: float = LINEAR, quad
 
 def packed(docs: DataFrame, tokenizer: str, end_id: int = END_ID, size: int = SEQUENCE, group_tokens: int = GROUP_TOKENS, with_ids: bool = False) -> DataFrame:
     """One row per piece; with_ids adds the ids themselves (array<int>)."""
-    spark = docs.sparkSession
-    small_batches(spark, 2000)
     schema = SCHEMA + ", ids array<int>" * with_ids
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tessera.llm.presplit import library_encoder
 
         encode = library_encoder(tokenizer)
         next_sequence = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
-        held, n_held = [], 0
+        doc_ids: list[pa.Array] = []
+        lengths: list[np.ndarray] = []
+        held: list[np.ndarray] = []
+        n_held = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal next_sequence, held, n_held
-            doc_ids = [d for d, _ in held]
-            lengths = np.array([len(x) for _, x in held], np.int64)
-            pieces, room, cost = pack(lengths, size)
-            rows = [[] for _ in range(9 + with_ids)]
-            for d, start, n, s, at in sorted(pieces, key=lambda p: (p[3], p[4])):
-                part = held[d][1][start : start + n]
-                for column, value in zip(rows, (doc_ids[d], start, n, zlib.crc32(part.tobytes()), int(lengths[d]), next_sequence + s, at, int(room[s]), float(cost[s]), part)):
-                    column.append(value)
-            types = [pa.int64()] * 8 + [pa.float64()]
-            arrays = [pa.array(c, t) for c, t in zip(rows, types)]
+            nonlocal next_sequence, doc_ids, lengths, held, n_held
+            doc, length, ids = pa.concat_arrays(doc_ids), np.concatenate(lengths), np.concatenate(held).astype("<u4")
+            pieces, room, cost = pack(length, size)
+            d, start, n, s, at = np.array(sorted(pieces, key=lambda p: (p[3], p[4])), np.int64).T
+            begin = (np.cumsum(length) - length)[d] + start
+            crc = [zlib.crc32(ids[a:b]) for a, b in zip(begin.tolist(), (begin + n).tolist())]
+            arrays = [doc.take(pa.array(d)), *map(pa.array, (start, n, np.array(crc, np.int64), length[d], next_sequence + s, at, room[s], cost[s]))]
             if with_ids:
-                arrays.append(pa.array([x.astype(np.int32) for x in rows[9]], pa.list_(pa.int32())))
+                arrays.append(pa.array([ids[a:b].astype(np.int32) for a, b in zip(begin.tolist(), (begin + n).tolist())], pa.list_(pa.int32())))
             next_sequence += len(room)
-            held, n_held = [], 0
-            return pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in schema.split(", ")])
+            doc_ids, lengths, held, n_held = [], [], [], 0
+            return pa.RecordBatch.from_arrays(arrays, names=names)
 
-        end = np.array([end_id], "<u4")
         for batch in chunks(batches):
-            ids, begins = encode(texts_of(batch))
-            for d, a, b in zip(batch.column("doc_id").to_pylist(), begins[:-1].tolist(), begins[1:].tolist()):
-                held.append((d, np.concatenate([ids[a:b], end]).astype("<u4")))
-                n_held += b - a + 1
+            ids, begins = encode.with_end(texts_of(batch), end_id)
+            done = 0
+            while done < batch.num_rows:  # as many documents as fill the group, the last of which may pass its bound
+                last = min(batch.num_rows, int(np.searchsorted(begins, begins[done] + group_tokens - n_held)))
+                doc_ids.append(batch.column("doc_id").slice(done, last - done))
+                lengths.append(np.diff(begins[done : last + 1]))
+                held.append(ids[begins[done] : begins[last]])
+                n_held += int(begins[last] - begins[done])
+                done = last
                 if n_held >= group_tokens:
                     yield flush()
         if held:

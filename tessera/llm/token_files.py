@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import chunks, documents, small_batches, texts_of, written
+from tessera.llm.common import chunks, documents, texts_of, written
 
 BLOCK = 256
 PERCENTILE = 0.95
@@ -40,6 +40,29 @@ def _bit_lengths(x: np.ndarray) -> np.ndarray:
     return np.frexp(x.astype(np.float64))[1].astype(np.int64)
 
 
+def _packed_bits(values: np.ndarray, width: int) -> np.ndarray:
+    """The low width bits of each row's values one after another, as rows of bytes; 64 bits are filled at a time."""
+    words = np.zeros((-(-values.shape[1] * width // 64) + 1, len(values)), np.uint64)
+    for k, column in enumerate(np.ascontiguousarray(values.T).astype(np.uint64)):
+        at, shift = divmod(k * width, 64)
+        words[at] |= column << np.uint64(shift)
+        if shift + width > 64:
+            words[at + 1] |= column >> np.uint64(64 - shift)
+    return np.ascontiguousarray(words.T).astype("<u8").view(np.uint8)
+
+
+def _unpacked_bits(raw: np.ndarray, width: int, n: int) -> np.ndarray:
+    """The n values of width bits of each row of bytes."""
+    padded = np.zeros((len(raw), -(-raw.shape[1] // 8) * 8 + 8), np.uint8)
+    padded[:, : raw.shape[1]] = raw
+    words = padded.view("<u8")
+    at, shift = np.divmod(np.arange(n) * width, 64)
+    out = words[:, at] >> shift.astype(np.uint64)
+    over = np.flatnonzero(shift + width > 64)
+    out[:, over] |= words[:, at[over] + 1] << (64 - shift[over]).astype(np.uint64)
+    return (out & np.uint64((1 << width) - 1)).astype(np.uint32)
+
+
 def encode_blocks(ids: np.ndarray) -> list[bytes]:
     """The blocks of ids."""
     n = len(ids)
@@ -59,9 +82,7 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
     for w in np.unique(width).tolist():
         rows = np.flatnonzero(width == w)
         if w:
-            kept = diff[rows] & np.uint32((1 << w) - 1)
-            planes = (kept[:, :, None] >> np.arange(w, dtype=np.uint32)) & np.uint32(1)
-            body = np.packbits(planes.astype(np.uint8).reshape(len(rows), -1), axis=1, bitorder="little")
+            body = _packed_bits(diff[rows] & np.uint32((1 << w) - 1), w)
             for r, x in zip(rows.tolist(), body):
                 packed[r] = x[: -(-int(used[r]) * w // 8)].tobytes()
     high = diff >> width[:, None].astype(np.uint32)
@@ -76,10 +97,10 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
     return out
 
 
-def encode_segment(ids: np.ndarray, lengths: list[int]) -> bytes:
+def encode_segment(ids: np.ndarray, lengths: np.ndarray) -> bytes:
     blocks = encode_blocks(ids)
     starts = np.cumsum([0, *map(len, blocks)]).astype("<u4")
-    return _HEAD.pack(MAGIC, VERSION, BLOCK, len(lengths), len(ids), len(blocks)) + np.array(lengths, "<u4").tobytes() + starts.tobytes() + b"".join(blocks)
+    return _HEAD.pack(MAGIC, VERSION, BLOCK, len(lengths), len(ids), len(blocks)) + np.asarray(lengths).astype("<u4").tobytes() + starts.tobytes() + b"".join(blocks)
 
 
 def decode_segment(image: bytes, first: int = 0, last: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -103,11 +124,7 @@ def decode_segment(image: bytes, first: int = 0, last: int | None = None) -> tup
             size = block * w // 8 if block * w % 8 == 0 else -(-block * w // 8)
             take = body[rows][:, None] + np.arange(size)
             raw = whole[np.minimum(take, len(whole) - 1)]  # a short last block reads on; what it reads is cut off below
-            planes = np.unpackbits(raw, axis=1, bitorder="little", count=block * w).reshape(len(rows), block, w)
-            value = np.zeros((len(rows), block), np.uint32)
-            for k in range(w):
-                value |= planes[:, :, k].astype(np.uint32) << np.uint32(k)
-            grid[rows] = value
+            grid[rows] = _unpacked_bits(raw, w, block)
     for r, (lo, w, n_odd, used) in enumerate(heads):
         if n_odd:
             at = int(body[r]) + -(-used * w // 8)
@@ -119,35 +136,38 @@ def decode_segment(image: bytes, first: int = 0, last: int | None = None) -> tup
 
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = END_ID, segment_ids: int = SEGMENT_IDS) -> DataFrame:
     """The files as a stored table: part, segment, ids_before (in the part), n_ids, doc_ids, image."""
-    small_batches(docs.sparkSession, 2000)
     schema = "part int, segment int, ids_before long, n_ids long, doc_ids array<long>, image binary"
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tessera.llm.presplit import library_encoder
 
         encode = library_encoder(tokenizer)
         part = TaskContext.get().partitionId()
+        doc_ids: list[pa.Array] = []
+        lengths: list[np.ndarray] = []
         held: list[np.ndarray] = []
-        doc_ids: list[int | None] = []
         segment = before = n_held = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal held, doc_ids, segment, before, n_held
-            image = encode_segment(np.concatenate(held), [len(x) for x in held])
-            row = pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([segment], pa.int32()), pa.array([before]), pa.array([n_held]), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([image], pa.binary())],
-                names=["part", "segment", "ids_before", "n_ids", "doc_ids", "image"],
-            )
-            held, doc_ids, segment, before, n_held = [], [], segment + 1, before + n_held, 0
+            nonlocal doc_ids, lengths, held, segment, before, n_held
+            doc = pa.concat_arrays(doc_ids)
+            image = encode_segment(np.concatenate(held), np.concatenate(lengths))
+            listed = pa.ListArray.from_arrays(pa.array([0, len(doc)], pa.int32()), doc)
+            row = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([segment], pa.int32()), pa.array([before]), pa.array([n_held]), listed, pa.array([image], pa.binary())], names=names)
+            doc_ids, lengths, held, segment, before, n_held = [], [], [], segment + 1, before + n_held, 0
             return row
 
-        end = np.array([end_id], np.uint32)
         for batch in chunks(batches):
-            ids, begins = encode(texts_of(batch))
-            for d, a, b in zip(batch.column("doc_id").to_pylist(), begins[:-1].tolist(), begins[1:].tolist()):
-                held.append(np.concatenate([ids[a:b], end]))
-                doc_ids.append(d)
-                n_held += b - a + 1
+            ids, begins = encode.with_end(texts_of(batch), end_id)
+            done = 0
+            while done < batch.num_rows:  # as many documents as fill the segment, the last of which may pass its bound
+                last = min(batch.num_rows, int(np.searchsorted(begins, begins[done] + segment_ids - n_held)))
+                doc_ids.append(batch.column("doc_id").slice(done, last - done))
+                lengths.append(np.diff(begins[done : last + 1]))
+                held.append(ids[begins[done] : begins[last]])
+                n_held += int(begins[last] - begins[done])
+                done = last
                 if n_held >= segment_ids:
                     yield flush()
         if held:
@@ -174,13 +194,12 @@ def read_token_files(files: DataFrame) -> DataFrame:
                 ends = np.cumsum(lengths, dtype=np.int64)
                 begins = ends - lengths
                 at = batch.column("part_begins")[row].as_py() + batch.column("ids_before")[row].as_py()
-                crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(begins.tolist(), ends.tolist())]
+                crc = [zlib.crc32(ids[a:b]) for a, b in zip(begins.tolist(), ends.tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_ids")[row].values, pa.array(begins + at), pa.array(lengths.astype(np.int64)), pa.array(crc, pa.int64())],
                     names=["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    small_batches(spark, 8)
     return files.join(before, "part").select("part_begins", "ids_before", "doc_ids", "image").mapInArrow(run, schema)
 
 
