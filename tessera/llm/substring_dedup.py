@@ -355,7 +355,7 @@ def _full_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         size = np.where(open_row, 1, run & 0xFFFFF)[row]
         size[is_open] = 0
         closed = np.flatnonzero(~is_open)
-        pairs[closed, 0] = mix(start[closed].astype(np.uint64) + doc[row[closed]].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15), 11)
+        pairs[closed, 0], pairs[closed, 1] = doc[row[closed]].view(np.uint64), 0
         yield pa.RecordBatch.from_arrays([_signed(pairs[:, 0]), _signed(pairs[:, 1]), pa.array(doc[row]), pa.array(h[row]), pa.array(start), pa.array(size)], names=["a", "b", "doc_id", "h", "start", "size"])
 
 
