@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+from dataclasses import dataclass
 from itertools import product
 from pathlib import Path
 from typing import Any
@@ -73,32 +74,55 @@ def parameter_grid(**choices: list[Any]) -> list[dict[str, Any]]:
 
 # Unions of counting queries with the same tables.
 
-_SELECT = re.compile(r"SELECT\s+(.*?)\s+FROM\s", re.I | re.S)
-_COUNTED = re.compile(r"COUNT\(\s*([^)*\s]+)\s*\)", re.I)
+
+@dataclass(frozen=True)
+class Counting:
+    """What a counting query counts: its columns, and the text from FROM on that gives the rows."""
+
+    columns: tuple[str, ...]
+    source: str
+
+    @classmethod
+    def of(cls, sql: str) -> Counting:
+        """Read from the outermost select list. A call's name is what stands before its bracket."""
+        columns: list[str] = []
+        opened: list[tuple[str, int]] = []
+        for m in _PIECE.finditer(sql):
+            if m[0].endswith("("):
+                opened.append((m[0][:-1].strip().upper(), m.end()))
+            elif m[0] == ")" and opened:
+                call, at = opened.pop()
+                inside = sql[at : m.start()].strip()
+                if call == "COUNT" and not opened and inside and inside != "*":
+                    columns.append(inside)
+            elif m[0].upper() == "FROM" and not opened:
+                return cls(tuple(columns), sql[m.start() :])
+        return cls((), "")
+
+    def rows(self) -> str:
+        """A query for the values themselves, named by their places."""
+        return "SELECT " + ", ".join(f"{c} AS column_{k}" for k, c in enumerate(self.columns, 1)) + " " + self.source
+
+
+_PIECE = re.compile(r"'(?:[^']|'')*'|\"[^\"]*\"|\w*\s*\(|\)|\bFROM\b", re.I)
 
 
 def counted_columns(sql: str) -> list[str]:
-    """The columns inside COUNT(...) of a query's select list; at least two are needed for a union."""
-    found = _SELECT.search(sql)
-    columns = _COUNTED.findall(found[1]) if found else []
+    """The columns that a query counts; at least two are needed for a union."""
+    columns = Counting.of(sql).columns
     if len(columns) < 2:
         raise ValueError("a query needs two counted columns for a union")
-    return columns
-
-
-def uncounted(sql: str) -> str:
-    """The query with its counted columns themselves, named column_1, column_2, ... as select list."""
-    names = ", ".join(f"{c} AS column_{i + 1}" for i, c in enumerate(counted_columns(sql)))
-    return _SELECT.sub(lambda _: f"SELECT {names} FROM ", sql, count=1)
+    return list(columns)
 
 
 def union_query(queries: list[str], distinct: bool) -> str:
-    """The counts of the union of queries that count equally many columns."""
-    width = {len(counted_columns(q)) for q in queries}
-    if len(width) != 1:
+    """The counts over the union of what the queries count; they must count equally many columns."""
+    parts = [Counting.of(q) for q in queries if counted_columns(q)]
+    width = len(parts[0].columns)
+    if any(len(p.columns) != width for p in parts):
         raise ValueError("the queries count different numbers of columns")
-    counts = ", ".join(["COUNT(*) AS count_star", *[f"COUNT(column_{i + 1}) AS count_{i + 1}" for i in range(width.pop())]])
-    return f"WITH parts AS ({(' UNION ' if distinct else ' UNION ALL ').join(map(uncounted, queries))}) SELECT {counts} FROM parts"
+    together = (" UNION " if distinct else " UNION ALL ").join(p.rows() for p in parts)
+    return f"SELECT COUNT(*) AS count_star{''.join(f', COUNT(column_{k}) AS count_{k}' for k in range(1, width + 1))} FROM ({together}) AS together"
 
 
 def unions(workload: list[dict[str, Any]], most: int, probability: float, seed: int = 42) -> list[dict[str, Any]]:
