@@ -170,7 +170,7 @@ def window_hashes(words: np.ndarray, size: int, salt: int = 0) -> np.ndarray:
     return mix(span_hashes(mix(words, salt), at, at + size), salt)
 
 
-def chunks(batches: Iterator, most_bytes: int = 2 << 20, column: str = "text") -> Iterator:
+def chunks(batches: Iterator, most_bytes: int = 1 << 20, column: str = "text") -> Iterator:
     """The Arrow batches cut into runs of rows whose column holds about most_bytes; a single value is never cut."""
     import pyarrow.compute as pc
 
