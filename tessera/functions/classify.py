@@ -8,6 +8,7 @@ from functools import cache
 from pyspark.sql import SparkSession
 
 from tessera.functions.catalogue import CATEGORIES
+from tessera.functions.taxonomy import BARE, by_spelling
 
 #: SQL operators, as their text: (category, subcategory, name).
 OPERATORS = {
@@ -25,14 +26,14 @@ _NOT_CALLS = frozenset("AND OR IN ON AS FROM WHERE SELECT EXISTS OVER VALUES USI
 
 @cache
 def _known() -> dict[str, tuple[str, str, str]]:
-    """Function name as Spark knows it -> (category, subcategory, name), from the catalogue's examples."""
+    """Function name -> (category, subcategory, name), from the catalogue's examples and the further spellings."""
     out: dict[str, tuple[str, str, str]] = {}
     for group, lines in CATEGORIES.items():
         category, _, sub = group.partition(".")
         for name, example, _, _ in lines:
             if m := _CALL.search(example):
                 out.setdefault(m[1].lower(), (category, sub, name))
-    return out
+    return out | by_spelling()
 
 
 def _close(text: str, at: int) -> int:
@@ -51,8 +52,13 @@ def _close(text: str, at: int) -> int:
     return len(text)
 
 
+_HIDDEN = re.compile(r"'(?:[^']|'')*'|\"[^\"]*\"|`[^`]*`|--[^\n]*|/\*.*?\*/", re.S)
+_BARE = re.compile(r"(?<![\w.])(?:" + "|".join(BARE) + r")\b(?!\s*\()", re.I)
+
+
 def _without_strings(sql: str) -> str:
-    return re.sub(r"'(?:[^']|'')*'", lambda m: "'" + " " * (len(m[0]) - 2) + "'", re.sub(r"--[^\n]*", "", sql))
+    """The text with blanks for what strings, quoted names and comments hold, so that every place stays where it is."""
+    return _HIDDEN.sub(lambda m: m[0][0] + " " * (len(m[0]) - 2) + m[0][-1] if m[0][0] in "'\"`" else " " * len(m[0]), sql)
 
 
 def parses(sql: str) -> bool:
@@ -84,6 +90,8 @@ def functions_of(sql: str) -> list[dict[str, str]]:
         if over:
             kind = ("window", _WINDOW.get(name, "aggregate"), kind[2])
         add(kind, text)
+    for m in _BARE.finditer(plain):
+        add(_known().get(m[0].lower(), ("scalar", "datetime", m[0])), m[0])
     for m in re.finditer(r"\bCASE\b", plain, re.I):
         add(("conditional", "case", "Case"), sql[m.start() : m.end()])
     for m in re.finditer(r"<=>|<=|>=|<>|!=|\|\||[-+*/%&|^~=<>]|\b(?:LIKE|ILIKE|NOT|IS|DIV|RLIKE)\b", plain, re.I):

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.classify import functions_of
+from tessera.functions.taxonomy import by_spelling
 from tessera.operators import execution, statistics, workload
 from tessera.operators.graph import JoinQuery, KeyGraph
 from tessera.operators.predicates import PredicateMaker, random_tree
@@ -188,3 +189,13 @@ def augmented_workload(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 register("augmented_workload", augmented_workload)
+
+
+def spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the classifier says of a call in each further spelling."""
+    rows = [(call, f["category"], f["subcategory"], f["name"]) for call in by_spelling() for f in functions_of(f"SELECT {call}(a, b) FROM t")]
+    return spark.createDataFrame(rows, "spelling string, category string, subcategory string, name string")
+
+
+_SPELT = ", ".join(f"('{call}', '{category}', '{sub}', '{name}')" for call, (category, sub, name) in by_spelling().items())
+register("function_spellings", spellings, f"SELECT * FROM (VALUES {_SPELT}) AS v(spelling, category, subcategory, name)")

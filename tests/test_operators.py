@@ -194,6 +194,8 @@ def test_classification(spark):
     found = {(f["category"], f["subcategory"], f["name"]) for f in functions_of("SELECT rank() OVER (ORDER BY a), sum(b) OVER (PARTITION BY c), upper(d), count(*), a + 1, CASE WHEN x LIKE 'a(b' THEN 1 END FROM t")}
     assert found >= {("window", "ranking", "Rank"), ("window", "aggregate", "Sum"), ("scalar", "string", "Upper"), ("agg", "core", "Count"), ("scalar", "arithmetic", "Add"), ("conditional", "case", "Case"), ("scalar", "pattern_matching", "Like")}
     assert functions_of("SELECT FROM WHERE (") == []
+    named = functions_of("SELECT /* upper( */ `lower(x)`, sum(b) OVER w, current_date, 'trim(y)' FROM t -- min(\nWINDOW w AS (PARTITION BY c)")
+    assert [(f["category"], f["name"]) for f in named if f["category"] != "scalar"] == [("window", "Sum")] and [f["expression"] for f in named] == ["sum(b)", "current_date"]
 
 
 def test_augmentation():
