@@ -13,6 +13,8 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.vocabulary import VOCABULARY, distribution, kind_of
+
 
 @dataclass(frozen=True)
 class Outcome:
@@ -91,6 +93,7 @@ class PlanNode:
     rows: int | None
     estimate: int | None
     children: list["PlanNode"] = field(default_factory=list)
+    kind: str | None = None  # its name in the vocabulary
 
     def walk(self):
         yield self
@@ -122,7 +125,10 @@ def _node(jvm: Any, plan: Any) -> PlanNode:
         count = link.get().stats().rowCount()
         estimate = int(str(count.get())) if count.isDefined() else None
     children = plan.children()
-    return PlanNode(name, int(metric.get().value()) if metric.isDefined() else None, estimate, [_node(jvm, children.apply(k)) for k in range(children.size())])
+    ungrouped = name.endswith("Aggregate") and plan.groupingExpressions().isEmpty()
+    local = name == "Sort" and not getattr(plan, "global")()
+    kind = kind_of(name, ungrouped, local, plan.nodeName())
+    return PlanNode(name, int(metric.get().value()) if metric.isDefined() else None, estimate, [_node(jvm, children.apply(k)) for k in range(children.size())], kind)
 
 
 @dataclass(frozen=True)
@@ -212,6 +218,7 @@ def plan_metrics(t: Trace) -> dict[str, Any]:
         "output_cardinality": t.output_rows,
         "query_keywords": keywords(t.sql),
         "operator_distribution": operators,
+        "vocabulary_distribution": distribution(t.plan),
         "qerror": max(estimated / actual, actual / estimated) if estimated and actual else None,
         "qerror_downstream_operators": [{"downstream_operators": k, "qerrors": v} for k, v in sorted(below.items())],
         "functions": functions_of(t.sql),
@@ -220,7 +227,7 @@ def plan_metrics(t: Trace) -> dict[str, Any]:
 
 METRICS = (
     "latency double, cumulative_cardinality long, cumulative_rows_scanned long, cardinality_over_rows_scanned double, query_plan_size int, query_plan_length int, query_size_bytes int,"
-    " query_size_tokens int, output_cardinality long, query_keywords array<string>, operator_distribution map<string, long>, qerror double,"
+    " query_size_tokens int, output_cardinality long, query_keywords array<string>, operator_distribution map<string, long>, vocabulary_distribution map<string, long>, qerror double,"
     " qerror_downstream_operators array<struct<downstream_operators: int, qerrors: array<double>>>, functions array<struct<category: string, subcategory: string, name: string, expression: string>>"
 )
 
@@ -247,3 +254,11 @@ def outcomes_table(spark: SparkSession, found: list[Trace | Failure]) -> DataFra
 def operator_totals(metrics: DataFrame) -> DataFrame:
     """(operator, n) over all queries, most frequent first."""
     return metrics.select(F.explode("operator_distribution").alias("operator", "n")).groupBy("operator").agg(F.sum("n").alias("n")).where("n > 0").orderBy(F.desc("n"), "operator")
+
+
+def vocabulary_totals(metrics: DataFrame) -> DataFrame:
+    """(operator, n) over all queries for every name of the vocabulary, those that never occur included."""
+    spark = metrics.sparkSession
+    names = spark.createDataFrame([(n,) for n in VOCABULARY], "operator string")
+    found = metrics.select(F.explode("vocabulary_distribution").alias("operator", "n")).groupBy("operator").agg(F.sum("n").alias("n"))
+    return names.join(found, "operator", "left").select("operator", F.coalesce("n", F.lit(0)).cast("long").alias("n"))

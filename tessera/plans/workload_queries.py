@@ -167,6 +167,7 @@ def plan_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 register("plan_metrics", plan_metrics)
 register("plan_operators", lambda s, d: execution.operator_totals(plan_metrics(s, d)))
+register("plan_vocabulary", lambda s, d: execution.vocabulary_totals(plan_metrics(s, d)))
 
 
 def classify_functions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -251,3 +251,18 @@ def test_rewrites_of_text():
     assert seen == {f"SELECT {x}, COUNT(*) FROM t" for x in ("COUNT(t.a)", "COUNT(DISTINCT t.a)", "MIN(t.a)", "MAX(t.a)")}
     assert {rewrites.diversified_sql("SELECT COUNT(c) FROM t HAVING COUNT(a) > 1", schema, k) for k in range(40)} == {f"SELECT {x} FROM t HAVING COUNT(a) > 1" for x in ("COUNT(c)", "COUNT(DISTINCT c)")}
     assert rewrites.diversified_sql("SELECT COUNT(a) OVER () FROM t", schema, 1) == "SELECT COUNT(a) OVER () FROM t"
+
+
+def test_plan_vocabulary(spark, small):
+    """Operators of plans whose shape is known, by their vocabulary names; all names are there."""
+    register(spark, small, ("orders", "customer", "nation"))
+    of = lambda sql: {k: n for k, n in execution.plan_metrics(execution.trace(spark, sql))["vocabulary_distribution"].items() if n}
+    assert len(execution.VOCABULARY) == len(set(execution.VOCABULARY)) == 82
+    counted = of("SELECT COUNT(*) FROM orders, customer, nation WHERE o_custkey = c_custkey AND c_nationkey = n_nationkey")
+    assert counted["TABLE_SCAN"] == 3 and counted["HASH_JOIN"] == 2 and counted["UNGROUPED_AGGREGATE"] == 1 and "HASH_GROUP_BY" not in counted
+    grouped = of("SELECT c_nationkey, COUNT(*) AS n FROM customer GROUP BY c_nationkey ORDER BY n DESC")
+    assert grouped["HASH_GROUP_BY"] == 1 and grouped["ORDER_BY"] == 1 and grouped["ROOT"] == grouped["RESULT_COLLECTOR"] == 1
+    assert of("SELECT n_name FROM nation UNION ALL SELECT c_name FROM customer")["UNION"] == 1
+    assert of("SELECT n_name, rank() OVER (ORDER BY n_regionkey) AS r FROM nation")["WINDOW"] == 1
+    assert of("SELECT explode(array(1, 2)) AS x FROM nation")["UNNEST"] == 1
+    assert of("SELECT a.n_name FROM nation a, nation b WHERE a.n_nationkey < b.n_nationkey")["NESTED_LOOP_JOIN"] == 1
