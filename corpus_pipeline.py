@@ -1,4 +1,10 @@
-"""A corpus pipeline: stages over the table documents, each written as Parquet and read again for the next."""
+"""A corpus pipeline: stages over the table documents, each written as Parquet and read again for the next.
+
+Defined results: a null or empty text fails the quality rules, so it goes in the first stage; of equal texts the row with the largest doc_id
+stays, and of rows that repeat both text and doc_id one; of near copies the row with the smallest doc_id; a null doc_id loses to any other, and such a row
+is not cut; a text of which all words go is packed as its end id alone; an empty table gives no rows; other columns, whatever their
+names, are kept up to packing.
+"""
 
 from __future__ import annotations
 
@@ -44,7 +50,7 @@ STAGES = [
     ("substring dedup", cut_repeats),
     ("packing", pack_sequences),
 ]
-#: The stages take robust covariances, XXH64 bits and byte-pair merges, which DuckDB does not have; tests hold run() against brute force.
+#: The stages take robust covariances, XXH64 bits and byte-pair merges, which DuckDB does not have; tests hold each stage to its operator, which has brute-force tests.
 ORACLE_SQL = None
 
 
