@@ -352,6 +352,30 @@ def test_packing_balances_cost():
     assert np.median(full) * 3 > full[2:].max() and sum(p[2] for p in pieces) == room.sum()
 
 
+def test_packing_assignment():
+    """Each piece against a plain search for the sequence of least cost that has room, documents in descending order."""
+    rnd = random.Random(7)
+    for size in (8, 64):
+        lengths = [rnd.randrange(1, 3 * size) for _ in range(60)] + [size, size, 1]
+        pieces, room, cost = packing.pack(np.array(lengths, np.int64), size, 1.0, 1.0 / size)
+        left, spent, got = room.tolist(), [0.0] * len(room), {(d, a): (n, s, o) for d, a, n, s, o in pieces}
+        expected, nth = {}, 0
+        for d, n in enumerate(lengths):
+            for a in range(0, n // size * size, size):
+                expected[d, a] = (size, nth, 0)
+                left[nth], spent[nth], nth = 0, size + size * size / size, nth + 1
+        for d in sorted(range(len(lengths)), key=lambda d: -(lengths[d] % size)):
+            a = lengths[d] // size * size
+            while a < lengths[d]:
+                want = lengths[d] - a
+                fit = [s for s in range(nth, len(left)) if left[s] >= want]
+                s = min(fit, key=lambda s: spent[s]) if fit else max(range(nth, len(left)), key=lambda s: left[s])
+                n = min(want, left[s])
+                expected[d, a] = (n, s, int(room[s]) - left[s])
+                left[s], spent[s], a = left[s] - n, spent[s] + n + n * n / size, a + n
+        assert got == expected and not any(left) and np.allclose(cost, spent)
+
+
 def test_chat_format(spark):
     rnd = random.Random(6)
     bits = ["</s>", "[INST]", "[/INST]", "\\", "[GEN]", "[/GEN]", "[ROLE]", "a", "\n", "<", "s>", " "]

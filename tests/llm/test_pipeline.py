@@ -49,3 +49,18 @@ def test_stages(stages):
 def test_run(spark, small, stages):
     out = corpus_pipeline.run(spark, small)
     assert out.columns == stages[-1].columns and out.count() == stages[-1].count()
+
+
+def test_stages_on_odd_rows(spark, small):
+    """Nulls in any column, empty texts, rows that repeat, clashing names, and no rows at all."""
+    prose = [" ".join(f"w{(k * 7919 + i * i * 31) % 4001}" for i in range(80)) for k in range(6)]
+    rows = [(k, t, "en", None, "m") for k, t in enumerate(prose)] + [(k, t, "en", None, "m") for k, t in enumerate(prose[:2])]
+    rows += [(20, None, None, None, None), (21, "", "en", "s", "m"), (None, prose[5], "en", "s", None), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, __row string").repartition(2)
+    for table, stay in ((docs, [0, 1, 2, 3, 4, 5]), (docs.limit(0), [])):
+        for _, stage in corpus_pipeline.STAGES[:4]:
+            table = written(stage(spark, table, small))
+            assert table.columns == docs.columns
+        assert ids(table) == stay
+        packed = corpus_pipeline.STAGES[4][1](spark, table, small).collect()
+        assert sorted({r.doc_id for r in packed}) == stay
