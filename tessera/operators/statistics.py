@@ -2,7 +2,7 @@
 
 All columns of a type class are unpivoted into (column, value) and counted once; distinct counts, null counts, common
 values and histograms follow from those counts. Ranks are taken over range partitions and the partitions' totals, so no column
-has to be sorted by one task.
+has to be sorted by one task. The counted values are written once by range, and all else reads that table.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.scratch import written
 from tessera.sources.tables import type_class
 
 CASTS = {"INT": "bigint", "FLOAT": "double", "STRING": "string", "TIME": "timestamp_ntz"}
@@ -48,23 +49,41 @@ def _bins(n: Column, bins: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.lit(bins)), lambda i: F.greatest(F.lit(1), n - F.floor(n - (i.cast("double") / F.lit(float(bins))) * n)))
 
 
-def histogram(freq: DataFrame, bins: int = BINS, partitions: int | None = None) -> DataFrame:
-    """(column, bound): upper bounds of equi-height bins, without repeats."""
-    values = freq.where("value IS NOT NULL")
-    ordered = (values.repartitionByRange(partitions, "column", "value") if partitions else values.repartitionByRange("column", "value")).withColumn("part", F.spark_partition_id())
-    per_part = ordered.groupBy("column", "part").agg(F.sum("n").alias("size"))
+def ordered(freq: DataFrame, partitions: int | None = None) -> DataFrame:
+    """freq and part: the range partition of (column, value) that a row lies in, parts ascending with the values. Written once, so that
+    the parts are the same to all that read it."""
+    by = ("column", "value")
+    ranges = freq.repartitionByRange(partitions, *by) if partitions else freq.repartitionByRange(*by)
+    return written(ranges.withColumn("part", F.spark_partition_id()))
+
+
+def _bounds(parted: DataFrame, bins: int) -> DataFrame:
+    """(column, bound) of the rows of ordered() that are given."""
     # A row per column and partition: small, whatever the data.
-    before = per_part.select("column", "part", (F.sum("size").over(Window.partitionBy("column").orderBy("part")) - F.col("size")).alias("before"), F.sum("size").over(Window.partitionBy("column")).alias("total"))
-    running = ordered.withColumn("upto", F.sum("n").over(Window.partitionBy("column", "part").orderBy("value")))
-    ranked = running.join(before.withColumn("ranks", _bins(F.col("total"), bins)), ["column", "part"])
+    per_part = parted.groupBy("column", "part").agg(F.sum("n").alias("size"))
+    by = Window.partitionBy("column")
+    before = per_part.select("column", "part", "size", (F.sum("size").over(by.orderBy("part")) - F.col("size")).alias("before"), F.sum("size").over(by).alias("total"))
+    ranks = F.filter(_bins(F.col("total"), bins), lambda r: (r > F.col("before")) & (r <= F.col("before") + F.col("size")))
+    # Only partitions with a rank in them are looked into.
+    wanted = before.select("column", "part", "before", ranks.alias("ranks")).where(F.size("ranks") > 0)
+    running = parted.join(F.broadcast(wanted), ["column", "part"]).withColumn("upto", F.sum("n").over(Window.partitionBy("column", "part").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     high = F.col("before") + F.col("upto")
-    return ranked.where(F.exists("ranks", lambda r: (r > high - F.col("n")) & (r <= high))).select("column", F.col("value").alias("bound"))
+    return running.where(F.exists("ranks", lambda r: (r > high - F.col("n")) & (r <= high))).select("column", F.col("value").alias("bound"))
+
+
+def _without_common(parted: DataFrame, bins: int, k: int) -> DataFrame:
+    rest = parted.where("value IS NOT NULL").join(F.broadcast(common_values(parted, k).select("column", "value")), ["column", "value"], "left_anti")
+    return _bounds(rest, bins)
+
+
+def histogram(freq: DataFrame, bins: int = BINS, partitions: int | None = None) -> DataFrame:
+    """(column, bound): upper bounds of equi-height bins, without repeats."""
+    return _bounds(ordered(freq.where("value IS NOT NULL"), partitions), bins)
 
 
 def histogram_without_common(freq: DataFrame, bins: int = BINS, k: int = COMMON_VALUES) -> DataFrame:
     """(column, bound) over the values that are not among the k most common; columns with k values or fewer have none."""
-    rest = freq.where("value IS NOT NULL").join(common_values(freq, k).select("column", "value"), ["column", "value"], "left_anti")
-    return histogram(rest, bins)
+    return _without_common(ordered(freq.where("value IS NOT NULL")), bins, k)
 
 
 def redundant_bins(bounds: Column, length: int, filler: Column) -> Column:
@@ -103,11 +122,11 @@ def column_stats(df: DataFrame, table: str, bins: int = BINS, k: int = COMMON_VA
         columns = [f.name for f in df.schema.fields if type_class(f.dataType) == kind]
         if not columns:
             continue
-        freq = frequencies(df, columns)
+        freq = ordered(frequencies(df, columns))
         text = lambda c: F.col(c).cast("string")
         gather = lambda h, name: h.groupBy("column").agg(F.transform(F.sort_array(F.collect_list("bound")), lambda x: x.cast("string")).alias(name))
         mcv = common_values(freq, k).groupBy("column").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", text("value").alias("value"), F.col("n").alias("count")))), lambda x: F.struct(x["value"].alias("value"), x["count"].alias("count"))).alias("most_common_values"))
-        one = counts(freq).join(gather(histogram(freq, bins), "histogram"), "column", "left").join(mcv, "column", "left").join(gather(histogram_without_common(freq, bins, k), "histogram_mcv"), "column", "left")
+        one = counts(freq).join(gather(_bounds(freq.where("value IS NOT NULL"), bins), "histogram"), "column", "left").join(mcv, "column", "left").join(gather(_without_common(freq, bins, k), "histogram_mcv"), "column", "left")
         one = one.select(F.lit(table).alias("table"), "column", F.lit(kind).alias("dtype"), "table_size", F.col("table_size").alias("sample_size"), "null_count", "distinct_count", "histogram", "most_common_values", F.coalesce("histogram_mcv", F.array().cast("array<string>")).alias("histogram_mcv"))
         out = one if out is None else out.unionByName(one)
     if out is None:
