@@ -17,25 +17,40 @@ OPERATORS = {
     "=": ("scalar", "comparison", "EQ"), "<>": ("scalar", "comparison", "NEQ"), "!=": ("scalar", "comparison", "NEQ"), "<": ("scalar", "comparison", "LT"), "<=": ("scalar", "comparison", "LTE"),
     ">": ("scalar", "comparison", "GT"), ">=": ("scalar", "comparison", "GTE"), "<=>": ("scalar", "comparison", "NullSafeEQ"),
     "LIKE": ("scalar", "pattern_matching", "Like"), "ILIKE": ("scalar", "pattern_matching", "ILike"), "NOT": ("scalar", "logical", "Not"), "IS": ("scalar", "comparison", "Is"),
-    "DIV": ("scalar", "arithmetic", "IntDiv"), "RLIKE": ("scalar", "regex", "RLike"),
+    "DIV": ("scalar", "arithmetic", "IntDiv"), "RLIKE": ("scalar", "regex", "RLike"), "<<": ("scalar", "bitwise", "BitwiseLeftShift"), ">>": ("scalar", "bitwise", "BitwiseRightShift"), ">>>": ("scalar", "bitwise", "BitwiseRightShift"),
+    "IS NOT DISTINCT FROM": ("scalar", "comparison", "NullSafeEQ"), "IS DISTINCT FROM": ("scalar", "comparison", "NullSafeNEQ"),
+    "GLOB": ("scalar", "pattern_matching", "Glob"), "SIMILAR TO": ("scalar", "pattern_matching", "SimilarTo"), "ESCAPE": ("scalar", "pattern_matching", "Escape"),
+    "->": ("scalar", "json", "JSONExtract"), "->>": ("scalar", "json", "JSONExtractScalar"), "<->": ("scalar", "distance", "Distance"), ":=": ("scalar", "struct_access", "PropertyEQ"),
+    "-|-": ("scalar", "range", "Adjacent"), "OVERLAPS": ("scalar", "range", "Overlaps"), "&<": ("scalar", "range", "ExtendsLeft"), "&>": ("scalar", "range", "ExtendsRight"),
 }
 _WINDOW = {"rank": "ranking", "dense_rank": "ranking", "row_number": "ranking", "ntile": "ranking", "lag": "navigation", "lead": "navigation", "first_value": "navigation", "last_value": "navigation", "nth_value": "navigation", "cume_dist": "distribution", "percent_rank": "distribution"}
 _CALL = re.compile(r"([A-Za-z_]\w*)\s*\(")
-_NOT_CALLS = frozenset("AND OR IN ON AS FROM WHERE SELECT EXISTS OVER VALUES USING BY THEN ELSE WHEN NOT ALL ANY WITH UNION JOIN FILTER ROLLUP CUBE SETS GROUPING LIKE INTERVAL IS HAVING LIMIT END CASE BETWEEN DISTINCT".split())
+_SIGN = re.compile(r"<=>|->>|->|-\|-|<->|<<|>>>|>>|<=|>=|<>|!=|\|\||&<|&>|:=|[-+*/%&|^~=<>]|\b(?:IS\s+(?:NOT\s+)?DISTINCT\s+FROM|SIMILAR\s+TO|LIKE|ILIKE|RLIKE|GLOB|ESCAPE|OVERLAPS|NOT|IS|DIV)\b", re.I)
+#: What a sign follows that has no left operand.
+_NO_OPERAND = re.compile(r"(?:^|[(,\[]|[-+*/%&|^~=<>]|\b(?:SELECT|DISTINCT|WHERE|HAVING|ON|AND|OR|NOT|BETWEEN|WHEN|THEN|ELSE|CASE|BY|IN|LIKE|RETURN|DIV|LIMIT|OFFSET|VALUES))\s*$", re.I)
+#: A struct's field, taken from an expression.
+_FIELD = re.compile(r"\)\s*\.\s*[A-Za-z_]\w*(?!\s*\()")
+_NOT_CALLS = frozenset("GROUP WITHIN RECURSIVE LATERAL PARTITION ORDER WINDOW QUALIFY ESCAPE SIMILAR TO RLIKE ILIKE AND OR IN ON AS FROM WHERE SELECT EXISTS OVER VALUES USING BY THEN ELSE WHEN NOT ALL ANY WITH UNION JOIN ROLLUP CUBE SETS GROUPING LIKE INTERVAL IS HAVING LIMIT END CASE BETWEEN DISTINCT".split())
 
 
 @cache
 def _known() -> dict[str, tuple[str, str, str]]:
-    """Function name -> (category, subcategory, name), from the catalogue's examples and the further spellings."""
+    """Function name -> (category, subcategory, name): calls in the catalogue's examples that are named as their entry, and the further spellings."""
     out: dict[str, tuple[str, str, str]] = {}
     for group, lines in CATEGORIES.items():
         category, _, sub = group.partition(".")
         for name, example, _, _ in lines:
-            if m := _CALL.search(example):
-                out.setdefault(m[1].lower(), (category, sub, name))
+            for call in _CALL.findall(example):
+                if plain_name(call) == plain_name(name):
+                    out.setdefault(call.lower(), (category, sub, name))
     return out | by_spelling()
 
 
+def plain_name(name: str) -> str:
+    """name without case and underscores."""
+    return name.replace("_", "").lower()
+
+
 def _close(text: str, at: int) -> int:
     """Where the bracket that opens before at closes."""
     depth, quote = 1, ""
@@ -73,29 +88,49 @@ def parses(sql: str) -> bool:
     return True
 
 
-def functions_of(sql: str) -> list[dict[str, str]]:
-    """category, subcategory, name and expression of each function and operator of a query; none if it doesn't parse."""
-    if not parses(sql):
+def _is_call(plain: str, m: re.Match, end: int) -> bool:
+    """Whether a name before a bracket is a function's: no keyword, filter clause, type, alias, or common table's column list."""
+    before = plain[: m.start()].rstrip()
+    if m[1].upper() in _NOT_CALLS or m[1].upper() == "FILTER" and before.endswith(")"):
+        return False
+    if re.search(r"\bAS$", before, re.I):
+        return False
+    return not (re.search(r"(?:\bWITH|\bRECURSIVE|,)$", before, re.I) and re.match(r"\s*AS\s*\(", plain[end:], re.I))
+
+
+def functions_of(sql: str, dialect: str = "spark") -> list[dict[str, str]]:
+    """category, subcategory, name and expression of each function and operator of a query; none if it doesn't parse.
+
+    Of dialects other than spark, which Spark's parser does not know, only the brackets are looked at."""
+    if not (parses(sql) if dialect == "spark" else sql.count("(") == sql.count(")")):
         return []
     plain, out = _without_strings(sql), []
     add = lambda kind, text: out.append(dict(zip(("category", "subcategory", "name", "expression"), (*kind, text))))
     for m in _CALL.finditer(plain):
-        name = m[1].lower()
-        if name.upper() in _NOT_CALLS:
-            continue
         end = _close(plain, m.end()) + 1
-        text = sql[m.start() : end]
+        if not _is_call(plain, m, end):
+            continue
+        name = m[1].lower()
         over = re.match(r"\s*(?:FILTER\s*\([^)]*\)\s*)?OVER\b", plain[end:], re.I)
         kind = _known().get(name, ("scalar", "other", m[1]))
         if over:
             kind = ("window", _WINDOW.get(name, "aggregate"), kind[2])
-        add(kind, text)
+        add(kind, sql[m.start() : end])
     for m in _BARE.finditer(plain):
         add(_known().get(m[0].lower(), ("scalar", "datetime", m[0])), m[0])
     for m in re.finditer(r"\bCASE\b", plain, re.I):
         add(("conditional", "case", "Case"), sql[m.start() : m.end()])
-    for m in re.finditer(r"<=>|<=|>=|<>|!=|\|\||[-+*/%&|^~=<>]|\b(?:LIKE|ILIKE|NOT|IS|DIV|RLIKE)\b", plain, re.I):
-        if m[0] == "*" and re.search(r"(?:\(|SELECT|,|\.)\s*$", plain[: m.start()], re.I):
+    for m in _FIELD.finditer(plain):
+        add(("scalar", "struct_access", "Dot"), sql[m.start() : m.end()])
+    for m in _SIGN.finditer(plain):
+        sign, before = " ".join(m[0].upper().split()), plain[: m.start()]
+        if sign == "*" and re.search(r"(?:\(|SELECT|DISTINCT|,|\.)\s*$", before, re.I):
             continue  # the star of count(*) and select lists
-        add(OPERATORS[m[0].upper()], sql[m.start() : m.end()])
+        if sign == "->" and not re.match(r"\s*['$]", plain[m.end() :]):
+            continue  # a lambda's arrow
+        if sign in "+-" and _NO_OPERAND.search(before):
+            if sign == "-":
+                add(("scalar", "arithmetic", "Neg"), sql[m.start() : m.end()])
+            continue
+        add(OPERATORS[sign], sql[m.start() : m.end()])
     return out

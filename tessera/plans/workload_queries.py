@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.classify import functions_of
+from tessera.functions.catalogue import CATEGORIES
+from tessera.functions.classify import OPERATORS, functions_of, plain_name
 from tessera.functions.taxonomy import by_spelling
 from tessera.operators import execution, statistics, workload
 from tessera.operators.graph import JoinQuery, KeyGraph
@@ -116,8 +117,9 @@ register(
     "SELECT CASE WHEN o_orderpriority LIKE '1-%' THEN 'first' WHEN o_orderpriority LIKE '_-H%' THEN 'high' ELSE o_orderpriority END AS template, COUNT(*) AS n FROM orders GROUP BY 1",
 )
 register("numbered_files", lambda s, d: workload.numbered_files(read(s, d, "customer").select(F.col("c_mktsegment").alias("template"), F.col("c_name").alias("name"))), "SELECT c_mktsegment AS template, c_name AS name, c_mktsegment || '-' || row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_name) || '.sql' AS new_name FROM customer")
-register("schema_tables", lambda s, d: s.createDataFrame([(t, c, k) for t, cs in schema_classes(s, d).items() for c, k in cs.items()], "table_name string, column_name string, kind string"))
-register("schema_columns", lambda s, d: s.createDataFrame([(t, *c) for t in TABLES for c in columns_of(read(s, d, t))], "table_name string, column_name string, type string, nullable boolean"))
+_SCHEMA = "SELECT table_name, column_name, {} FROM information_schema.columns WHERE table_name IN (" + ", ".join(f"'{t}'" for t in TABLES) + ")"
+register("schema_tables", lambda s, d: s.createDataFrame([(t, c, k) for t, cs in schema_classes(s, d).items() for c, k in cs.items()], "table_name string, column_name string, kind string"), _SCHEMA.format("CASE data_type WHEN 'BIGINT' THEN 'INT' WHEN 'INTEGER' THEN 'INT' WHEN 'DOUBLE' THEN 'FLOAT' WHEN 'VARCHAR' THEN 'STRING' WHEN 'TIMESTAMP' THEN 'TIME' ELSE 'OTHER' END AS kind"))
+register("schema_columns", lambda s, d: s.createDataFrame([(t, *c) for t in TABLES for c in columns_of(read(s, d, t))], "table_name string, column_name string, type string, nullable boolean"), _SCHEMA.format("CASE data_type WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'FLOAT[]' THEN 'array<float>' ELSE lower(data_type) END AS type, is_nullable = 'YES' AS nullable"))
 
 _UNION = [JOINS["pred_eq"].to_sql(), JOINS["pred_range"].to_sql()]
 for _name, _distinct in (("union_of_queries", True), ("union_all_of_queries", False)):
@@ -200,3 +202,40 @@ def spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _SPELT = ", ".join(f"('{call}', '{category}', '{sub}', '{name}')" for call, (category, sub, name) in by_spelling().items())
 register("function_spellings", spellings, f"SELECT * FROM (VALUES {_SPELT}) AS v(spelling, category, subcategory, name)")
+
+
+def _entry(f: dict[str, str]) -> tuple[str, str, str]:
+    """A finding as the catalogue would name it."""
+    name = f["name"] + ("Over" if (f["category"], f["subcategory"]) == ("window", "aggregate") else "")
+    return f["category"], f["subcategory"], plain_name(name)
+
+
+#: Entries whose examples are composed of other functions, or of brackets, in both engines.
+_COMPOSED = ("RegexpSplit", "Week", "ArrayFirst", "ArrayLast", "Dot", "MapSize")
+
+
+def classified_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue's entries that the classifier finds in their examples, Spark's or the other engine's."""
+    rows = []
+    for group, lines in CATEGORIES.items():
+        for name, example, other, _ in lines:
+            if name in _COMPOSED:
+                continue
+            texts = [(example, "spark"), *([(other, "other")] if other and other != "=" else [])]
+            found = {_entry(f) for text, dialect in texts for f in functions_of(f"SELECT {text} AS x FROM t", dialect)}
+            rows += [e for e in found if f"{e[0]}.{e[1]}" == group and e[2] == plain_name(name)]
+    return spark.createDataFrame(sorted(rows), "category string, subcategory string, name string")
+
+
+_ENTRIES = ", ".join(f"('{g.partition('.')[0]}', '{g.partition('.')[2]}', '{plain_name(name)}')" for g, lines in CATEGORIES.items() for name, *_ in lines if name not in _COMPOSED)
+register("classified_catalogue", classified_catalogue, f"SELECT * FROM (VALUES {_ENTRIES}) AS v(category, subcategory, name)")
+
+
+def operator_signs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the classifier says of each operator between two columns."""
+    rows = [(sign, f["category"], f["subcategory"], f["name"]) for sign in OPERATORS if sign not in ("NOT", "~") for f in functions_of(f"SELECT a {sign} 'b' FROM t", "other")]
+    return spark.createDataFrame(rows, "sign string, category string, subcategory string, name string")
+
+
+_SIGNS = ", ".join(f"('{sign}', '{c}', '{sub}', '{name}')" for sign, (c, sub, name) in OPERATORS.items() if sign not in ("NOT", "~"))
+register("operator_signs", operator_signs, f"SELECT * FROM (VALUES {_SIGNS}) AS v(sign, category, subcategory, name)")

@@ -198,6 +198,15 @@ def test_classification(spark):
     assert [(f["category"], f["name"]) for f in named if f["category"] != "scalar"] == [("window", "Sum")] and [f["expression"] for f in named] == ["sum(b)", "current_date"]
 
 
+def test_classification_of_signs_and_brackets(spark):
+    names = lambda q, dialect="spark": [f["name"] for f in functions_of(q, dialect)]
+    assert names("SELECT filter(a, x -> x > -1), sum(b) FILTER (WHERE c > 0), CAST(e AS DECIMAL(10, 2)), f IS NOT DISTINCT FROM g FROM t") == ["ArrayFilter", "Sum", "Cast", "GT", "Neg", "GT", "NullSafeEQ"]
+    assert names("WITH c(a) AS (SELECT 1) SELECT a - 1, -a, +a, count(*) FROM c GROUP BY a") == ["Count", "Sub", "Neg"]
+    assert names("SELECT percentile_cont(0.5) WITHIN GROUP (ORDER BY x), array_join(a, ','), element_at(a, 1) FROM t") == ["PercentileCont", "ArrayToString", "ElementAt"]
+    assert names("SELECT a->>'k', b->'k', c <-> d, e -|- f, g SIMILAR TO 'h' FROM t", "duckdb") == ["JSONExtractScalar", "JSONExtract", "Distance", "Adjacent", "SimilarTo"]
+    assert names("SELECT a SIMILAR TO 'h' FROM t") == []  # Spark's parser does not take it
+
+
 def test_augmentation():
     base = {"a/b.sql": JOINS["pred_eq"].to_sql()}
     sampled = sample_queries(base, 3, examples=2)
